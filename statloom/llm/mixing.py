@@ -12,7 +12,7 @@ are summed by source once, and Newton's iterations run over that table, one aggr
 
 Copies. Each document gets the whole part of its rate. The words that the fractions stand for are taken from documents in
 an order drawn by hash: each source's documents are chosen as long as their running sum stays within what is missing, and
-again from those not chosen that still fit. In a few last rounds each source takes the largest document that fits, so that
+again from those not chosen that still fit. In a few last rounds each source takes one more copy of the largest document that fits, so that
 small sources come near their targets too. Running sums are made in two
 steps, within about sqrt(n) groups of a source's n documents and over the groups, so that a source with a third of all
 rows is no hot task.
@@ -69,7 +69,7 @@ def tilts(targets: DataFrame) -> DataFrame:
 
 
 def _fill(docs: DataFrame, need: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One round: (documents with `more` of 0 or 1, what each source still needs) from rows (row, source, size, more)."""
+    """One round: (documents with `more` copies, what each source still needs) from rows (row, source, size, more)."""
     fits = docs.where("more = 0 AND size > 0").join(F.broadcast(need) if need.count() <= 100_000 else need, F.expr("source <=> of")).where("size <= missing")
     drawn = F.xxhash64("row", F.lit(seed))
     fits = fits.select("row", "of", "size", "missing", "groups", drawn.alias("h"), F.pmod(F.shiftright(drawn, 20), F.col("groups")).alias("g"))
@@ -81,17 +81,17 @@ def _fill(docs: DataFrame, need: DataFrame, seed: int) -> tuple[DataFrame, DataF
     chosen = fits.join(sums.hint("merge"), (fits["g"] == sums["g"]) & fits["of"].eqNullSafe(sums["of"])).where("before + inside <= missing").select("row", fits["of"], "size")
     chosen = saved(chosen)
     used = chosen.groupBy(F.col("of").alias("u")).agg(F.sum("size").alias("words"))
-    need = saved(need.join(used, F.expr("of <=> u"), "left").select("of", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing"), "groups"))
+    need = saved(need.join(used, F.expr("of <=> u"), "left").select("of", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing"), "groups", "whole"))
     docs = docs.join(chosen.select(F.col("row").alias("r"), F.lit(1).alias("add")).hint("merge"), F.expr("row = r"), "left").select("row", "source", "size", (F.col("more") + F.coalesce("add", F.lit(0))).alias("more"))
     return saved(docs), need
 
 
-def _largest(docs: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As _fill(): each source takes its largest document that fits."""
-    fits = docs.where("more = 0 AND size > 0").join(F.broadcast(need) if need.count() <= 100_000 else need, F.expr("source <=> of")).where("size <= missing")
+def _largest(docs: DataFrame, need: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """As _fill(): each source takes one more copy of its largest document that fits and isn't taken `most` times."""
+    fits = docs.where("size > 0").join(F.broadcast(need) if need.count() <= 100_000 else need, F.expr("source <=> of")).where((F.col("size") <= F.col("missing")) & (F.col("whole") + F.col("more") < most))
     best = fits.groupBy("of").agg(F.max(F.struct("size", "row")).alias("b")).select(F.col("of").alias("u"), F.col("b.size").alias("words"), F.col("b.row").alias("r"))
     best = saved(best)
-    need = saved(need.join(best, F.expr("of <=> u"), "left").select("of", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing"), "groups"))
+    need = saved(need.join(best, F.expr("of <=> u"), "left").select("of", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing"), "groups", "whole"))
     docs = docs.join(best.select("r", F.lit(1).alias("add")), F.expr("row = r"), "left").select("row", "source", "size", (F.col("more") + F.coalesce("add", F.lit(0))).alias("more"))
     return saved(docs), need
 
@@ -102,13 +102,13 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     plan = targets.select(
         F.col("source").alias("of"), "source_size", "target", F.floor(F.col("rate") * (1 + 1e-12)).alias("whole"), F.ceil(F.sqrt("n")).alias("groups"))
     missing = F.greatest(F.lit(0.0), F.round(F.col("target") - F.col("whole") * F.col("source_size"), 3))
-    need = plan.select("of", missing.alias("missing"), "groups")
+    need = plan.select("of", missing.alias("missing"), "groups", "whole")
     now = docs.select("row", "source", "size", F.lit(0).alias("more"))
     for i in range(ROUNDS[0]):
         now, need = _fill(now, need, i)
     for _ in range(ROUNDS[1]):
-        now, need = _largest(now, need)
-    out = now.join(plan.drop("groups"), F.expr("source <=> of"))
+        now, need = _largest(now, need, most)
+    out = now.join(plan.select("of", "source_size", "target", "whole"), F.expr("source <=> of"))
     return out.select("row", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
 
 
