@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, mixing, near_dups, png_media, token_counts, token_files, topk
+from . import bpe_automaton, mixing, near_dups, pii, png_media, token_counts, token_files, topk
 from .common import prepare, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
