@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, mixing, near_dups, pii, png_media, token_counts, token_files, topk
-from .common import prepare, shared_dir, table
+from . import bpe_automaton, mixing, near_dups, pii, png_media, token_counts, token_files, topk, toxicity
+from .common import fold, prepare, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(True))
+    scorer = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held), model_docs=docs)
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), scorer).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
