@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, mixing, near_dups, pii, png_media, token_counts, token_files, topk, toxicity
+from . import bpe_automaton, maxent, mixing, near_dups, pii, png_media, token_counts, token_files, topk, toxicity
 from .common import fold, prepare, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scorer = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held), model_docs=docs)
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), scorer).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    got = maxent.scores(docs, ~held)
+    return got.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
