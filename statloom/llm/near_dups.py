@@ -14,8 +14,8 @@ documents of its lists, hubs drawn by hash; what that links, components join, tw
 several components are merged. In short lists, all documents of different components meet. Where one component has half
 of a long list, the documents outside it are held against all others there: full sets are compared in blocks, gathered
 for each such component over its lists, so that a large group of near copies writes no row for each of its pairs. Other
-long lists hold many different documents that agree by chance: they are posted again under the next coordinate on which
-documents agree (of the first 36, 37, ...) and fall apart. Once 6 coordinates agree, every pair in a list is a candidate,
+lists hold many different documents that agree by chance. Up to 4096 documents are compared in blocks too; longer lists are
+posted again under the next coordinate on which documents agree (of the first 36, 37, ...) and fall apart. Once 6 coordinates agree, every pair in a list is a candidate,
 and all lists are merged. No pair is left out at any size.
 
 Threshold. Agreements of a pair that has met are counted over whole signatures, and pairs at the threshold are confirmed
@@ -40,8 +40,8 @@ from .pieces import CACHE_SIZE
 WORDS, COORDINATES, AGREE = 5, 40, 6
 #: MinHash values of a coordinate.
 VALUES = 3
-#: Documents of a list whose pairs are all met at once, at first and where more coordinates agree.
-SHORT = (32, 128)
+#: Documents of a list whose pairs are met one by one, and of one whose full sets are compared in blocks.
+SHORT, LONG = 32, 4096
 #: Hubs that each document meets in the two rounds; documents of a block of full sets.
 HUBS, BLOCK = (2, 6), 256
 #: Ids that are broadcast at most (8 bytes each); beyond that they are joined by shuffling.
@@ -179,15 +179,15 @@ class _Linker:
         self.link(met.select("doc", F.col("hub.doc").alias("hub")).toDF("a", "b"))
         return post.select("key", "at", "doc")
 
-    def merge_lists(self, post: DataFrame, short: int, whole: bool) -> DataFrame:
-        """Link all documents across components in lists that are short or have a main component (whole: in all lists).
+    def merge_lists(self, post: DataFrame, whole: bool) -> DataFrame:
+        """Link all documents across components in lists that aren't very long or have a main component (whole: in all lists).
 
         Returns the postings of the other lists.
         """
         post = self.labelled(post)
         tally = post.groupBy("key", "label").agg(F.count("*").alias("n"))
         lists = tally.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        kind = F.when(F.col("size") <= short, "short").when(F.col("main.n") * 2 >= F.col("size"), "main").otherwise("whole" if whole else "later")
+        kind = F.when(F.col("size") <= SHORT, "short").when(F.col("main.n") * 2 >= F.col("size"), "main").when(F.lit(whole) | (F.col("size") <= LONG), "whole").otherwise("later")
         lists = saved(lists.select("key", kind.alias("kind"), F.when(kind == "main", F.col("main.label")).otherwise(F.col("key")).alias("of"), F.col("main.label").alias("main")))
         post = saved(post.join(lists.hint("merge"), "key"))
         a = post.where("kind = 'short'").select("key", F.col("doc").alias("a"), F.col("label").alias("la"))
@@ -218,7 +218,8 @@ class _Linker:
         if sets is None:
             return
         sizes = saved(held.groupBy("kind", "of").agg(F.ceil(F.count("*") / BLOCK).alias("ny"), F.ceil(F.count_if("asks") / BLOCK).alias("nx")))
-        rows = held.join(sets.withColumnRenamed("id", "doc").hint("merge"), "doc").join(sizes.hint("merge"), ["kind", "of"])
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes.hint("merge")
+        rows = held.join(sets.withColumnRenamed("id", "doc").hint("merge"), "doc").join(sizes, ["kind", "of"])
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         of = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
         x = rows.where("asks").withColumn("xb", of("nx")).withColumn("yb", upto("ny"))
@@ -256,7 +257,7 @@ class _Linker:
         for shared in range(1, AGREE + 1):
             for hubs in HUBS if shared == 1 else ():
                 post = self.meet_hubs(post, hubs)
-            post = self.merge_lists(post, SHORT[shared > 1], shared == AGREE)
+            post = self.merge_lists(post, shared == AGREE)
             if shared == AGREE or not post.count():
                 return
             sigs = self.sigs.select(F.col("id").alias("doc"), "sig").hint("merge")
