@@ -26,17 +26,17 @@ DIGITS = 8
 
 
 def register(name: str, columns: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None, digits: int = DIGITS) -> None:
-    """columns: 'name:kind' with kind i (long), d (double), s (string) or t (as it is)."""
+    """columns: 'name:kind' with kind i (long), d (double), r (double near 0, to six places), s (string) or t (as it is)."""
     spec = [c.split(":") for c in columns.split()]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = f(spark, sf_dir)
-        how = {"i": lambda c: c.cast("long"), "d": lambda c: significant(c + F.lit(0.0), digits), "s": lambda c: c, "t": lambda c: c}
+        how = {"i": lambda c: c.cast("long"), "d": lambda c: significant(c + F.lit(0.0), digits), "r": lambda c: F.round(c, 6) + F.lit(0.0), "s": lambda c: c, "t": lambda c: c}
         return df.select(*[how[k](F.col(c)).alias(c) for c, k in spec])
 
     QUERIES[name] = run
     if sql is not None:
-        how = {"i": lambda c: f"CAST({c} AS BIGINT)", "d": lambda c: significant_sql(f"{c} + 0.0", digits), "s": lambda c: c, "t": lambda c: c}
+        how = {"i": lambda c: f"CAST({c} AS BIGINT)", "d": lambda c: significant_sql(f"{c} + 0.0", digits), "r": lambda c: f"round({c}, 6) + 0.0", "s": lambda c: c, "t": lambda c: c}
         used = {v: q for v, q in VIEWS.items() if v in sql}
         views = "".join(f"{v} AS ({q}), " for v, q in used.items())
         ORACLES[name] = f"WITH {views}result AS ({sql}) SELECT {', '.join(f'{how[k](c)} AS {c}' for c, k in spec)} FROM result"
@@ -132,7 +132,7 @@ def _influence(s: SparkSession, d: str) -> DataFrame:
     return linear.leverage(df, "y", ["x"], linear.ols(df, "y", ["x"]))
 
 
-register("ols_influence", "p_partkey:i h:d student:d cooks:d", _influence, """
+register("ols_influence", "p_partkey:i h:r student:r cooks:r", _influence, """
 WITH p AS (SELECT p_partkey, p_partkey/1000 AS x, p_retailprice AS y FROM part), r AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, count(*) AS n, regr_syy(y,x)-regr_sxy(y,x)*regr_sxy(y,x)/regr_sxx(y,x) AS rss FROM p),
 e AS (SELECT p_partkey, 1.0/n+(x-mx)*(x-mx)/sxx AS h, y-a-b*x AS e, rss/(n-2) AS s2 FROM p, r), t AS (SELECT p_partkey, h, e/sqrt(s2*(1-h)) AS student FROM e)
 SELECT p_partkey, h, student, student*student*h/(1-h)/2 AS cooks FROM t""", 5)
