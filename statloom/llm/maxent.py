@@ -111,9 +111,9 @@ def descend(weights: np.ndarray, squares: np.ndarray, classes: np.ndarray, rows:
     """One Adagrad step on a block of positions, in place. The block's gradient is gathered row by row."""
     g = np.exp(log_class(weights, rows))
     g[np.arange(len(classes)), classes] -= 1
-    flat = rows.T.ravel()
+    flat = rows.T.ravel().astype(np.uint16)  # which a stable sort orders by radix
     order = np.argsort(flat, kind="stable")
-    sorted_rows = flat[order]
+    sorted_rows = flat[order].astype(np.int32)
     starts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
     sums = np.add.reduceat(g[order % len(classes)], starts, 0)
     touched = sorted_rows[starts]
