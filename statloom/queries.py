@@ -128,12 +128,12 @@ SELECT sqrt(sum(u*u*e*e*{_factor}))/any_value(sxx) AS se FROM e""", 6)
 
 
 def _influence(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "part").select("p_partkey", (F.col("p_partkey") / 1000).alias("x"), F.col("p_retailprice").alias("y"))
+    df = table(s, d, "part").select("p_partkey", (F.col("p_partkey") / 1000).alias("x"), (F.col("p_retailprice") + F.col("p_partkey") * 7919 % 100).alias("y"))
     return linear.leverage(df, "y", ["x"], linear.ols(df, "y", ["x"]))
 
 
 register("ols_influence", "p_partkey:i h:r student:r cooks:r", _influence, """
-WITH p AS (SELECT p_partkey, p_partkey/1000 AS x, p_retailprice AS y FROM part), r AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, count(*) AS n, regr_syy(y,x)-regr_sxy(y,x)*regr_sxy(y,x)/regr_sxx(y,x) AS rss FROM p),
+WITH p AS (SELECT p_partkey, p_partkey/1000 AS x, p_retailprice + p_partkey * 7919 % 100 AS y FROM part), r AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, count(*) AS n, regr_syy(y,x)-regr_sxy(y,x)*regr_sxy(y,x)/regr_sxx(y,x) AS rss FROM p),
 e AS (SELECT p_partkey, 1.0/n+(x-mx)*(x-mx)/sxx AS h, y-a-b*x AS e, rss/(n-2) AS s2 FROM p, r), t AS (SELECT p_partkey, h, e/sqrt(s2*(1-h)) AS student FROM e)
 SELECT p_partkey, h, student, student*student*h/(1-h)/2 AS cooks FROM t""", 5)
 register("ols_categorical", "level:s contrast:d", lambda s, d: LI(s, d).groupBy(F.col("l_returnflag").alias("level")).agg(F.avg("l_extendedprice").alias("m")).withColumn("contrast", F.col("m") - F.min_by("m", "level").over(Window.partitionBy())), """
