@@ -50,9 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/statloom-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, **options: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
+#: Narrow rows that one file of a saved table takes at most, where a bound of its rows is known.
+FILE_ROWS = 50_000
+
+
+def saved(df: DataFrame, bound: int | None = None, **options: str) -> DataFrame:
+    """The same rows, written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    bound: what the number of rows can't exceed; a small table is then written by few tasks instead of one for each
+    shuffle partition. Larger bounds leave the partitions as they are.
+    """
     path = f"{shared_dir(df.sparkSession)}/table"
+    if bound is not None and (files := max(1, -(-bound // FILE_ROWS))) < shuffle_partitions(df.sparkSession):
+        df = df.coalesce(files)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

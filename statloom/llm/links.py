@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v), each undirected edge once, as (larger, smaller)."""
+def _star(edges: DataFrame, large: bool, bound: int) -> DataFrame:
+    """edges (u, v), each undirected edge once, as (larger, smaller); a step never adds to their number, bound."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    centre = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    centre = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * bound)
     joined = both.join(centre.hint("merge"), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(centre.select("u", F.col("m").alias("v")))
-    return saved(out.where("u <> v").distinct())
+    return saved(out.where("u <> v").distinct(), bound)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         n, vertices = e.agg(F.count("*"), F.count_distinct("u")).first()
         return n == vertices and not e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").count()
 
+    bound = now.count()
     while not settled(now):
-        now = _star(_star(now, True), False)
-    return saved(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
+        now = _star(_star(now, True, bound), False, bound)
+    return saved(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), 2 * bound)

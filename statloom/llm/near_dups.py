@@ -10,7 +10,7 @@ Prefix. Pairs that agree in 6 of 40 coordinates agree in one of the first 35. On
 value.
 
 Skip. A posting list whose documents are all in one component already needs no more work. First each document meets a few
-documents of its lists, hubs drawn by hash; what that links, components join, twice. Then the lists that still hold
+documents of its lists, hubs drawn by hash; what that links, components join. Then the lists that still hold
 several components are merged. In short lists, all documents of different components meet. Where one component has half
 of a long list, the documents outside it are held against all others there: full sets are compared in blocks, gathered
 for each such component over its lists, so that a large group of near copies writes no row for each of its pairs. Other
@@ -42,8 +42,8 @@ WORDS, COORDINATES, AGREE = 5, 40, 6
 VALUES = 3
 #: Documents of a list whose pairs are met one by one, and of one whose full sets are compared in blocks.
 SHORT, LONG = 32, 4096
-#: Hubs that each document meets in the two rounds; documents of a block of full sets.
-HUBS, BLOCK = (2, 6), 256
+#: Hubs of each of its lists that a document meets first; documents of a block of full sets.
+HUBS, BLOCK = 3, 256
 #: Ids that are broadcast at most (8 bytes each); beyond that they are joined by shuffling.
 BROADCAST_IDS = 200_000
 #: Shingles hashed at once for a signature.
@@ -199,9 +199,12 @@ class _Linker:
         return saved(post.where("kind = 'later'").select("key", "at", "doc"))
 
     def sets_of(self, docs: DataFrame) -> DataFrame | None:
-        """Full sets (id, set) of the documents in docs (id); None for none."""
-        wanted = saved(docs.distinct())
-        if not (n := wanted.count()):
+        """Full sets (id, set) of the documents in docs (id, perhaps repeated); None for none."""
+        wanted = docs
+        if (n := docs.count()) > BROADCAST_IDS:
+            wanted = saved(docs.distinct())
+            n = wanted.count()
+        if not n:
             return None
         return saved(_sets(self.rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id", "left_semi"), self.words))
 
@@ -255,8 +258,8 @@ class _Linker:
         post = self.sigs.select(F.col("id").alias("doc"), F.posexplode(F.slice("sig", 1, first)).alias("at", "v"))
         post = post.select(F.xxhash64("at", "v").alias("key"), "at", "doc")
         for shared in range(1, AGREE + 1):
-            for hubs in HUBS if shared == 1 else ():
-                post = self.meet_hubs(post, hubs)
+            if shared == 1:
+                post = self.meet_hubs(post, HUBS)
             post = self.merge_lists(post, shared == AGREE)
             if shared == AGREE or not post.count():
                 return
