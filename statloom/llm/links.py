@@ -30,14 +30,14 @@ def _star(edges: DataFrame, large: bool, bound: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component): each vertex of edges (a, b) with the smallest vertex it can reach. No edges give no rows."""
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    bound = edges.count()
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), bound)
 
     def settled(e: DataFrame) -> bool:
         """Whether every vertex has one neighbour, or is the centre that they share."""
         n, vertices = e.agg(F.count("*"), F.count_distinct("u")).first()
         return n == vertices and not e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").count()
 
-    bound = now.count()
     while not settled(now):
         now = _star(_star(now, True, bound), False, bound)
     return saved(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), 2 * bound)

@@ -170,11 +170,12 @@ class _Linker:
 
     def meet_hubs(self, post: DataFrame, hubs: int) -> DataFrame:
         """Link documents of postings with hubs of their lists; the postings of lists that held several components."""
+        bound = post.count()
         post = self.labelled(post)
         drawn = [F.min(F.struct(F.xxhash64("doc", "key", F.lit(i)).alias("h"), "doc", "label")) for i in range(hubs)]
         lists = post.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*drawn).alias("hubs"))
-        lists = saved(lists.where("lo < hi").select("key", F.transform("hubs", lambda h: F.struct(h["doc"].alias("doc"), h["label"].alias("label"))).alias("hubs")))
-        post = saved(post.join(lists.hint("merge"), "key"))
+        lists = saved(lists.where("lo < hi").select("key", F.transform("hubs", lambda h: F.struct(h["doc"].alias("doc"), h["label"].alias("label"))).alias("hubs")), bound)
+        post = saved(post.join(lists.hint("merge"), "key"), bound)
         met = post.select("doc", "label", F.explode(F.array_distinct("hubs")).alias("hub")).where("label <> hub.label")
         self.link(met.select("doc", F.col("hub.doc").alias("hub")).toDF("a", "b"))
         return post.select("key", "at", "doc")
@@ -184,19 +185,20 @@ class _Linker:
 
         Returns the postings of the other lists.
         """
+        bound = post.count()
         post = self.labelled(post)
         tally = post.groupBy("key", "label").agg(F.count("*").alias("n"))
         lists = tally.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         kind = F.when(F.col("size") <= SHORT, "short").when(F.col("main.n") * 2 >= F.col("size"), "main").when(F.lit(whole) | (F.col("size") <= LONG), "whole").otherwise("later")
-        lists = saved(lists.select("key", kind.alias("kind"), F.when(kind == "main", F.col("main.label")).otherwise(F.col("key")).alias("of"), F.col("main.label").alias("main")))
-        post = saved(post.join(lists.hint("merge"), "key"))
+        lists = saved(lists.select("key", kind.alias("kind"), F.when(kind == "main", F.col("main.label")).otherwise(F.col("key")).alias("of"), F.col("main.label").alias("main")), bound)
+        post = saved(post.join(lists.hint("merge"), "key"), bound)
         a = post.where("kind = 'short'").select("key", F.col("doc").alias("a"), F.col("label").alias("la"))
         b = a.toDF("key", "b", "lb")
         self.link(a.join(b.hint("merge"), "key").where("a < b AND la <> lb").select("a", "b"))
         asks = (F.col("kind") == "whole") | (F.col("label") != F.col("main"))
         held = post.where("kind IN ('main', 'whole')").groupBy("kind", "of", "doc").agg(F.min("label").alias("label"), F.max(asks).alias("asks"))
-        self.link_blocks(saved(held))
-        return saved(post.where("kind = 'later'").select("key", "at", "doc"))
+        self.link_blocks(saved(held, bound))
+        return saved(post.where("kind = 'later'").select("key", "at", "doc"), bound)
 
     def sets_of(self, docs: DataFrame) -> DataFrame | None:
         """Full sets (id, set) of the documents in docs (id, perhaps repeated); None for none."""
@@ -220,7 +222,7 @@ class _Linker:
         sets = self.sets_of(held.select(F.col("doc").alias("id")))
         if sets is None:
             return
-        sizes = saved(held.groupBy("kind", "of").agg(F.ceil(F.count("*") / BLOCK).alias("ny"), F.ceil(F.count_if("asks") / BLOCK).alias("nx")))
+        sizes = saved(held.groupBy("kind", "of").agg(F.ceil(F.count("*") / BLOCK).alias("ny"), F.ceil(F.count_if("asks") / BLOCK).alias("nx")), held.count())
         sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes.hint("merge")
         rows = held.join(sets.withColumnRenamed("id", "doc").hint("merge"), "doc").join(sizes, ["kind", "of"])
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -250,7 +252,7 @@ class _Linker:
                 ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        found = saved(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"))
+        found = saved(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), 8 * met.count())
         self.join_components(found)
 
     def run(self) -> None:
@@ -280,10 +282,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketches = saved(_sketches(rows, words))
     named = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = saved(named.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
+    bound = sketches.count()
+    classes = saved(named.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("members")), bound)
     reps = classes.select(F.col("rep").alias("id"), "d1", "d2").hint("merge")
     # one signature for each class, whichever of its rows with the smallest id gives it
-    sigs = saved(named.join(reps, ["id", "d1", "d2"], "left_semi").select("id", "n", "sig").dropDuplicates())
+    sigs = saved(named.join(reps, ["id", "d1", "d2"], "left_semi").select("id", "n", "sig").dropDuplicates(), 8 * bound)
     linker = _Linker(rows.where("id IS NOT NULL"), sigs, words, percent)
     linker.run()
     parts = linker.parts if linker.parts is not None else classes.limit(0).select(F.col("rep").alias("id"), F.col("rep").alias("component"))
