@@ -10,7 +10,7 @@ Prefix. Pairs that agree in 6 of 40 coordinates agree in one of the first 35. On
 value.
 
 Skip. A posting list whose documents are all in one component already needs no more work. First each document meets a few
-documents of its lists, hubs drawn by hash; what that links, components join. Then the lists that still hold
+documents of its lists, hubs drawn by a hash of the document alone, so that lists of the same documents mostly share theirs; what that links, components join. Then the lists that still hold
 several components are merged. In short lists, all documents of different components meet. Where one component has half
 of a long list, the documents outside it are held against all others there: full sets are compared in blocks, gathered
 for each such component over its lists, so that a large group of near copies writes no row for each of its pairs. Other
@@ -172,7 +172,7 @@ class _Linker:
         """Link documents of postings with hubs of their lists; the postings of lists that held several components."""
         bound = post.count()
         post = self.labelled(post)
-        drawn = [F.min(F.struct(F.xxhash64("doc", "key", F.lit(i)).alias("h"), "doc", "label")) for i in range(hubs)]
+        drawn = [F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("h"), "doc", "label")) for i in range(hubs)]
         lists = post.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*drawn).alias("hubs"))
         lists = saved(lists.where("lo < hi").select("key", F.transform("hubs", lambda h: F.struct(h["doc"].alias("doc"), h["label"].alias("label"))).alias("hubs")), bound)
         post = saved(post.join(lists.hint("merge"), "key"), bound)
