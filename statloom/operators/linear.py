@@ -86,7 +86,10 @@ def leverage(df: DataFrame, y: str, x: Sequence[str], m: LinearModel) -> DataFra
 
 
 def glm(df: DataFrame, y: str, x: Sequence[str], family: str, steps: int = 25, ridge: float = 0.0) -> np.ndarray:
-    """Coefficients of a logistic, Poisson or gamma (log link) model, by reweighted least squares: an aggregate a step."""
+    """Coefficients of a logistic model, or of another family with a log link, by reweighted least squares: an aggregate a step.
+
+    Families: logistic, poisson, gamma, inverse_gaussian, negative_binomial (alpha 1), tweedie (power 1.5).
+    """
     terms = [F.lit(1.0), *[F.col(c) for c in x]]
     beta = np.zeros(len(terms))
     if family != "logistic":
@@ -94,8 +97,9 @@ def glm(df: DataFrame, y: str, x: Sequence[str], family: str, steps: int = 25, r
     for _ in range(steps):
         eta = linear(terms, beta)
         mu = 1 / (1 + F.exp(-eta)) if family == "logistic" else F.exp(eta)
-        w = {"logistic": mu * (1 - mu), "poisson": mu, "gamma": F.lit(1.0)}[family]
-        z = eta + (F.col(y) - mu) / (mu if family == "gamma" else w)
+        # squared slope of the mean over the variance
+        w = {"logistic": mu * (1 - mu), "poisson": mu, "gamma": F.lit(1.0), "inverse_gaussian": 1 / mu, "negative_binomial": mu / (1 + mu), "tweedie": F.sqrt(mu)}[family]
+        z = eta + (F.col(y) - mu) / (w if family == "logistic" else mu)
         g = gram(df.withColumn("__z", z), [*terms, F.col("__z")], w)
         k = len(terms)
         new = _solve(g[:k, :k] + ridge * np.eye(k), g[:k, k])
@@ -106,6 +110,12 @@ def glm(df: DataFrame, y: str, x: Sequence[str], family: str, steps: int = 25, r
     return beta
 
 
+def pearson_dispersion(df: DataFrame, y: str, mean: Column, variance: Column, params: int) -> DataFrame:
+    """(phi): Pearson's chi-square over the residual degrees of freedom, at least 1."""
+    r = F.col(y) - mean
+    return df.agg((F.sum(r * r / variance) / F.greatest(F.count("*") - params, F.lit(1))).alias("phi"))
+
+
 def coordinate_descent(g: np.ndarray, penalty: str, strength: float, mixing: float = 1.0, sweeps: int = 500) -> np.ndarray:
     """Penalized least squares (1/2n scale) from the Gram matrix of standardized (x, y): lasso, elastic net, SCAD, MCP."""
     p = len(g) - 1

@@ -128,15 +128,22 @@ def kernel_regression(df: DataFrame, x: str, y: str, points: Sequence[float], ba
     return df.agg(F.array(*out).alias("a")).select(F.explode("a").alias("a")).select("a.point", "a.fit")
 
 
-def pairwise_kernels(df: DataFrame, id_col: str, vector: str, first: int) -> DataFrame:
-    """(a, b, linear, rbf, cosine, laplacian, polynomial) of the rows whose id is under `first`; a block of the kernel matrix."""
-    v = df.where(F.col(id_col) < first).select(F.col(id_col).alias("id"), F.transform(vector, lambda e: e.cast("double")).alias("v"))
-    j = v.select(F.col("id").alias("a"), F.col("v").alias("u")).crossJoin(F.broadcast(v.select(F.col("id").alias("b"), "v")))  # at most `first` rows
+def landmark_kernels(df: DataFrame, id_col: str, vector: str, landmarks: int) -> DataFrame:
+    """(a, b, linear, rbf, cosine, laplacian, polynomial, sigmoid) of every row a and each of so many landmarks b.
+
+    Landmarks are the rows whose ids an integer generator puts first, so every task gets that many rows and no more.
+    """
+    v = df.select(F.col(id_col).alias("id"), F.transform(vector, lambda e: e.cast("double")).alias("v"))
+    order = draw(F.col("id"), F.lit(1), F.lit(2147483647))
+    few = v.orderBy(order, "id").limit(landmarks).select(F.col("id").alias("b"), "v")
+    j = v.select(F.col("id").alias("a"), F.col("v").alias("u")).join(F.broadcast(few))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m * n), F.lit(0.0), lambda s, t: s + t)
     l1 = F.aggregate(F.zip_with("u", "v", lambda m, n: F.abs(m - n)), F.lit(0.0), lambda s, t: s + t)
     d = F.col("uv")
     j = j.withColumn("uv", dot("u", "v")).withColumn("uu", dot("u", "u")).withColumn("vv", dot("v", "v")).withColumn("l1", l1)
-    return j.select("a", "b", d.alias("linear"), F.exp(-0.5 * (F.col("uu") + F.col("vv") - 2 * d)).alias("rbf"), (d / F.sqrt(F.col("uu") * F.col("vv"))).alias("cosine"), F.exp(-0.1 * F.col("l1")).alias("laplacian"), F.pow(0.5 * d + 1, F.lit(3.0)).alias("polynomial"))
+    return j.select(
+        "a", "b", d.alias("linear"), F.exp(-0.5 * (F.col("uu") + F.col("vv") - 2 * d)).alias("rbf"), (d / F.sqrt(F.col("uu") * F.col("vv"))).alias("cosine"),
+        F.exp(-0.1 * F.col("l1")).alias("laplacian"), F.pow(0.5 * d + 1, F.lit(3.0)).alias("polynomial"), F.tanh(0.5 * d + 1).alias("sigmoid"))
 
 
 def draw(i: Column, rep: Column, n: Column) -> Column:

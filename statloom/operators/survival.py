@@ -70,5 +70,25 @@ def log_rank(df: DataFrame, group: str) -> DataFrame:
     return t.withColumn("chi2", F.pow(F.col("observed") - F.col("expected"), F.lit(2.0)) / F.col("variance"))
 
 
+def cox_efron(df: DataFrame, beta: float) -> DataFrame:
+    """(loglik, gradient, information) with Efron's ties: the k-th of d tied events takes k/d of their weight out of the risk set."""
+    w = F.exp(F.col("x") * beta) * F.col("event")
+    tied = df.groupBy("time").agg(*[F.sum(w * F.pow(F.col("x"), F.lit(float(i)))).alias(f"e{i}") for i in range(3)])
+    r = risk_table(df, beta).where("d > 0").join(tied, "time")
+    each = r.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("d") - 1).cast("int"))))  # as many rows as events
+    s0, s1, s2 = (F.col(f"s{i}") - F.col("k") / F.col("d") * F.col(f"e{i}") for i in range(3))
+    dx = F.col("dx") / F.col("d")
+    return each.agg(F.sum(dx * beta - F.log(s0)).alias("loglik"), F.sum(dx - s1 / s0).alias("gradient"), F.sum(s2 / s0 - s1 * s1 / (s0 * s0)).alias("information"))
+
+
+def score_residuals(df: DataFrame, beta: float) -> DataFrame:
+    """(id, residual): Breslow's score residuals. Sums over earlier event times are made by distinct time and joined back."""
+    up = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    m = F.col("s1") / F.col("s0")
+    at = risk_table(df, beta).select("time", m.alias("m"), F.sum(F.col("d") / F.col("s0")).over(up).alias("h"), F.sum(F.col("d") / F.col("s0") * m).over(up).alias("hm"))
+    x = F.col("x")
+    return df.join(at, "time").select("id", (F.col("event") * (x - F.col("m")) - F.exp(x * beta) * (x * F.col("h") - F.col("hm"))).alias("residual"))
+
+
 def chi2_sf_1(x: float) -> float:
     return math.erfc(math.sqrt(max(x, 0.0) / 2))

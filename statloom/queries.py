@@ -1,51 +1,19 @@
-"""Queries of the statistical operators, with their SQL.
-
-Doubles are rounded to nine significant digits on both sides, as sums of many doubles differ in their last places with the
-order of rows.
-"""
+"""Queries of the statistical operators, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from . import streaming
+from . import model_queries, streaming  # noqa: F401  the former adds its queries to the catalogue
 from .operators import anova, linear, multivariate, panel, survival, testing
-from .plans import gram, significant, significant_sql
-from .sources import SQL as VIEWS
+from .plans import gram
+from .registry import ORACLES, QUERIES, from_row, register  # noqa: F401
 from .sources import p_values, scores, spells, table
 from .sources import panel as panel_view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-DIGITS = 8
-
-
-def register(name: str, columns: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None, digits: int = DIGITS) -> None:
-    """columns: 'name:kind' with kind i (long), d (double), r (double near 0, to six places), s (string) or t (as it is)."""
-    spec = [c.split(":") for c in columns.split()]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = f(spark, sf_dir)
-        how = {"i": lambda c: c.cast("long"), "d": lambda c: significant(c + F.lit(0.0), digits), "r": lambda c: F.round(c, 6) + F.lit(0.0), "s": lambda c: c, "t": lambda c: c}
-        return df.select(*[how[k](F.col(c)).alias(c) for c, k in spec])
-
-    QUERIES[name] = run
-    if sql is not None:
-        how = {"i": lambda c: f"CAST({c} AS BIGINT)", "d": lambda c: significant_sql(f"{c} + 0.0", digits), "r": lambda c: f"round({c}, 6) + 0.0", "s": lambda c: c, "t": lambda c: c}
-        used = {v: q for v, q in VIEWS.items() if v in sql}
-        views = "".join(f"{v} AS ({q}), " for v, q in used.items())
-        ORACLES[name] = f"WITH {views}result AS ({sql}) SELECT {', '.join(f'{how[k](c)} AS {c}' for c, k in spec)} FROM result"
-
-
-def from_row(spark: SparkSession, names: list[str], rows: list[tuple], kinds: str) -> DataFrame:
-    return spark.createDataFrame(rows, ", ".join(f"{n} {'string' if k == 's' else 'double'}" for n, k in zip(names, kinds, strict=True)))
-
-
 # --- analysis of variance ----------------------------------------------------------------------------------------------
 
 G = "g AS (SELECT {by} AS g, count(*) AS n, avg({y}) AS m, var_samp({y}) AS v FROM {t} GROUP BY ALL)"
@@ -317,10 +285,10 @@ SIZES = [float(p) for p in range(5, 50, 5)]
 KR = f"w AS (SELECT point, p_size-point AS d, p_retailprice AS y, exp(-0.5*((p_size-point)/4.0)*((p_size-point)/4.0))/sqrt(2*pi()) AS w FROM part, (SELECT unnest({SIZES}) AS point)), t AS (SELECT point, sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*y) AS t0, sum(w*d*y) AS t1 FROM w GROUP BY 1)"
 register("kreg_constant", "point:d fit:d", lambda s, d: multivariate.kernel_regression(table(s, d, "part"), "p_size", "p_retailprice", SIZES, 4.0), f"WITH {KR} SELECT point, t0/s0 AS fit FROM t")
 register("kreg_linear", "point:d fit:d", lambda s, d: multivariate.kernel_regression(table(s, d, "part"), "p_size", "p_retailprice", SIZES, 4.0, linear=True), f"WITH {KR} SELECT point, (s2*t0-s1*t1)/(s0*s2-s1*s1) AS fit FROM t", 7)
-register("kernel_matrix", "a:i b:i linear:d rbf:d cosine:d laplacian:d polynomial:d", lambda s, d: multivariate.pairwise_kernels(table(s, d, "embeddings"), "vec_id", "embedding", 20), """
-WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id < 20),
-j AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v,b.v) AS d, list_dot_product(a.v,a.v) AS aa, list_dot_product(b.v,b.v) AS bb, list_sum(list_transform(list_zip(a.v,b.v), lambda z: abs(z[1]-z[2]))) AS l1 FROM v a, v b)
-SELECT a, b, d AS linear, exp(-0.5*(aa+bb-2*d)) AS rbf, d/sqrt(aa*bb) AS cosine, exp(-0.1*l1) AS laplacian, pow(0.5*d+1,3) AS polynomial FROM j""", 6)
+register("kernel_landmarks", "a:i b:i linear:d rbf:d cosine:d laplacian:d polynomial:d sigmoid:d", lambda s, d: multivariate.landmark_kernels(table(s, d, "embeddings"), "vec_id", "embedding", 20), """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT * FROM v ORDER BY ((id * 7919 + 117074) % 2147483647) * 48271 % 2147483647, id LIMIT 20),
+j AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v,b.v) AS d, list_dot_product(a.v,a.v) AS aa, list_dot_product(b.v,b.v) AS bb, list_sum(list_transform(list_zip(a.v,b.v), lambda z: abs(z[1]-z[2]))) AS l1 FROM v a, m b)
+SELECT a, b, d AS linear, exp(-0.5*(aa+bb-2*d)) AS rbf, d/sqrt(aa*bb) AS cosine, exp(-0.1*l1) AS laplacian, pow(0.5*d+1,3) AS polynomial, tanh(0.5*d+1) AS sigmoid FROM j""", 6)
 LCG = "((({i} * 7919 + {r} * 104729 + 12345) % 2147483647) * 48271) % 2147483647 % {n}"
 register("bootstrap_mean", "rep:i mean:d", lambda s, d: multivariate.bootstrap_mean(table(s, d, "supplier"), "s_acctbal", "s_suppkey", 50), f"""
 WITH x AS (SELECT row_number() OVER (ORDER BY s_suppkey)-1 AS i, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM x),
@@ -341,7 +309,7 @@ register("bspline_cubic", "key:i b2:d b3:d b4:d", lambda s, d: table(s, d, "part
 
 # --- streams -----------------------------------------------------------------------------------------------------------
 
-register("stream_window_moments", "start:t event_type:s n:i mean:d variance:d", lambda s, d: streaming.window_moments(table(s, d, "events")), "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, avg(value) AS mean, var_samp(value) AS variance FROM events GROUP BY ALL", 7)
+register("stream_window_moments", "start:t event_type:s n:i mean:d variance:d", lambda s, d: streaming.window_moments(table(s, d, "events")), "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, avg(value) AS mean, var_samp(value) AS variance FROM events GROUP BY ALL", 10)
 register("stream_sessions", "user_id:i session:i n:i seconds:i", lambda s, d: streaming.sessions(table(s, d, "events")), """
 WITH g AS (SELECT user_id, ts, event_id, CASE WHEN floor(epoch(ts))-floor(epoch(lag(ts) OVER w)) > 21600 THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
