@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +33,9 @@ from .pieces import CACHE_LENGTH, bounded
 ROW_GROUP, PAGE = 16 << 20, 64 << 10
 #: Characters that no normalizer joins or splits: printable ASCII and the letters of Latin-1.
 SIMPLE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+SIMPLE_LINE = regex.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+#: Signs that are a part of their own after letters.
+SIGNS = frozenset(",.;:!?")
 #: How a word-level vocabulary cuts a lower-cased word (fixed by the vocabulary's file).
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
@@ -42,8 +46,9 @@ _parts: dict[str, dict[str, bytes]] = {}
 
 @lru_cache(2)
 def _tokenizer(path: str):
-    """The library's tokenizer, its special strings, and, for each id, whether it ends a word."""
-    from tokenizers import Tokenizer
+    """The library's tokenizer, its special strings, for each id whether it ends a word, and the tokenizer for words already
+    normalized and cut: the same model, which only splits at white space."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
@@ -51,54 +56,86 @@ def _tokenizer(path: str):
     vocab = t.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for s, i in vocab.items() if s.endswith(WORD_END)]] = True
-    return t, [x.content for x in t.get_added_tokens_decoder().values()], ends
+    cut_only = Tokenizer(t.model)
+    cut_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return t, [x.content for x in t.get_added_tokens_decoder().values()], ends, cut_only
 
 
-def _encode_words(new: list[str], path: str) -> dict[str, bytes]:
-    """Ids of words without white space. Simple words are cut into parts, and unseen parts encoded in one call."""
-    tokenizer, special, ends = _tokenizer(path)
+def _encode_words(new: list[str], path: str, plain: bool) -> dict[str, bytes]:
+    """Ids of words without white space. Simple words are cut into parts, and unseen parts encoded in one call.
+
+    plain: no word holds a special string.
+    """
+    tokenizer, special, ends, cut_tokenizer = _tokenizer(path)
     known = bounded(_parts.setdefault(path, {}))
+    one: dict[str, str] = {}  # words that are one part
+    signed: dict[str, str] = {}  # letters and then a sign: their first part
     split: dict[str, list[str]] = {}
     other = []
+    every = plain and SIMPLE_LINE.fullmatch(" ".join(new)) is not None
     for w in new:
-        if SIMPLE.fullmatch(w) and not any(s in w for s in special):
-            split[w] = WORD_PARTS.findall(w.lower())
+        if every or SIMPLE.fullmatch(w) and (plain or not any(s in w for s in special)):
+            if w.isalpha():
+                one[w] = w.lower()
+            elif w[-1] in SIGNS and w[:-1].isalpha():
+                signed[w] = w[:-1].lower()
+            else:
+                split[w] = WORD_PARTS.findall(w.lower())
         else:
             other.append(w)
-    unseen = list({p for parts in split.values() for p in parts} - known.keys())
+    unseen = list({*one.values(), *signed.values(), *SIGNS, *(p for parts in split.values() for p in parts)} - known.keys())
     if unseen:
-        ids = np.array(tokenizer.encode(" ".join(unseen), add_special_tokens=False).ids, "<u4")
+        ids = np.array(cut_tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) == len(unseen):
             raw, begin = ids.tobytes(), 0
-            for part, stop in zip(unseen, stops.tolist(), strict=True):
-                known[part] = raw[4 * begin : 4 * stop]
+            for part, stop in zip(unseen, (4 * stops).tolist(), strict=True):
+                known[part] = raw[begin:stop]
                 begin = stop
         else:
             for part, e in zip(unseen, tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
                 known[part] = np.array(e.ids, "<u4").tobytes()
-    got = {w: b"".join([known[p] for p in parts]) for w, parts in split.items()}
+    got = {w: known[p] for w, p in one.items()}
+    got |= {w: known[p] + known[w[-1]] for w, p in signed.items()}
+    got |= {w: b"".join([known[p] for p in parts]) for w, parts in split.items()}
     for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
         got[w] = np.array(e.ids, "<u4").tobytes()
     return got
 
 
-def encode_batch(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
-    """Ids of each text (little-endian unsigned 32-bit integers), with end_id after them.
+def encode_arrays(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in order, with end_id after each text, and how many each has.
 
-    For vocabularies that drop white space and mark word ends, so that words are encoded one by one.
+    For vocabularies that drop white space and mark word ends, so that words are encoded one by one. Words are numbered by
+    Arrow; a batch's distinct words are looked up, and their ids gathered by number.
     """
-    known = bounded(_ids.setdefault(path, {}))
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*split) - known.keys() - {""}
-    got = _encode_words(list(new), path)
-    now = {"": b""} | {w: x for w, x in got.items() if len(w) > CACHE_LENGTH}
-    known |= {w: x for w, x in got.items() if len(w) <= CACHE_LENGTH}
+    known = bounded(_ids.setdefault(path, {"": b""}))
     known[""] = b""
-    if len(now) > 1:
-        known = known | now
-    return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    special = _tokenizer(path)[1]
+    plain = not any(pc.any(pc.match_substring(texts, s)).as_py() for s in special)
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    numbered = words.flatten().dictionary_encode()
+    distinct = numbered.dictionary.to_pylist()
+    got = _encode_words([w for w in distinct if w not in known], path, plain)
+    long = {w: x for w, x in got.items() if len(w) > CACHE_LENGTH}
+    known |= {w: x for w, x in got.items() if len(w) <= CACHE_LENGTH} if long else got
+    pieces = [known[w] if w in known else long[w] for w in distinct] if long else [known[w] for w in distinct]
+    pieces.append(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    starts = np.cumsum(lengths) - lengths
+    bounds = words.offsets.to_numpy()
+    order = np.insert(numbered.indices.to_numpy().astype(np.int32), bounds[1:], len(pieces) - 1)
+    each = lengths[order]
+    stops = np.cumsum(each)
+    at = np.repeat(starts[order] - (stops - each), each) + np.arange(int(stops[-1]) if len(stops) else 0)
+    last = stops[bounds[1:] + np.arange(len(texts))] if len(texts) else stops
+    return np.frombuffer(b"".join(pieces), "<u4")[at], np.diff(last, prepend=0)
+
+
+def encode_batch(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
+    """The same for each text by itself, as little-endian unsigned 32-bit integers."""
+    ids, n = encode_arrays(pa.array(texts, pa.string()), path, end_id)
+    return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 def write_tokens(df: DataFrame, out: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -113,10 +150,9 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int | None = 2, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, offset = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = encode_batch(b.column(1).to_pylist(), path, end_id)
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, n = encode_arrays(b.column(1), path, end_id)
             stops = np.cumsum(n)
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(offset + stops - n), pa.array(n), tokens], ["doc_id", "part", "offset", "n_tokens", "tokens"]
             )
