@@ -61,29 +61,27 @@ def _tokenizer(path: str):
     return t, [x.content for x in t.get_added_tokens_decoder().values()], ends, cut_only
 
 
-def _encode_words(new: list[str], path: str, plain: bool) -> dict[str, bytes]:
-    """Ids of words without white space. Simple words are cut into parts, and unseen parts encoded in one call.
+def _encode_words(new: list[str], path: str, plain: bool) -> list[bytes]:
+    """Ids of each word (none has white space). Simple words are cut into parts, and unseen parts encoded in one call.
 
     plain: no word holds a special string.
     """
     tokenizer, special, ends, cut_tokenizer = _tokenizer(path)
     known = bounded(_parts.setdefault(path, {}))
-    one: dict[str, str] = {}  # words that are one part
-    signed: dict[str, str] = {}  # letters and then a sign: their first part
-    split: dict[str, list[str]] = {}
-    other = []
+    cuts: list[str | list[str] | None] = []  # a part, some parts, or none where the library has to cut
     every = plain and SIMPLE_LINE.fullmatch(" ".join(new)) is not None
     for w in new:
-        if every or SIMPLE.fullmatch(w) and (plain or not any(s in w for s in special)):
-            if w.isalpha():
-                one[w] = w.lower()
-            elif w[-1] in SIGNS and w[:-1].isalpha():
-                signed[w] = w[:-1].lower()
-            else:
-                split[w] = WORD_PARTS.findall(w.lower())
+        if not (every or SIMPLE.fullmatch(w) and (plain or not any(s in w for s in special))):
+            cuts.append(None)
+        elif w.isalpha():
+            cuts.append(w.lower())
+        elif w[-1] in SIGNS and w[:-1].isalpha():
+            cuts.append([w[:-1].lower(), w[-1]])
         else:
-            other.append(w)
-    unseen = list({*one.values(), *signed.values(), *SIGNS, *(p for parts in split.values() for p in parts)} - known.keys())
+            cuts.append(WORD_PARTS.findall(w.lower()))
+    parts = {c for c in cuts if type(c) is str}
+    parts.update(*(c for c in cuts if type(c) is list))
+    unseen = list(parts - known.keys())
     if unseen:
         ids = np.array(cut_tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(ends[ids]) + 1
@@ -95,12 +93,8 @@ def _encode_words(new: list[str], path: str, plain: bool) -> dict[str, bytes]:
         else:
             for part, e in zip(unseen, tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
                 known[part] = np.array(e.ids, "<u4").tobytes()
-    got = {w: known[p] for w, p in one.items()}
-    got |= {w: known[p] + known[w[-1]] for w, p in signed.items()}
-    got |= {w: b"".join([known[p] for p in parts]) for w, parts in split.items()}
-    for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-        got[w] = np.array(e.ids, "<u4").tobytes()
-    return got
+    other = iter(tokenizer.encode_batch_fast([w for w, c in zip(new, cuts, strict=True) if c is None], add_special_tokens=False))
+    return [known[c] if type(c) is str else np.array(next(other).ids, "<u4").tobytes() if c is None else b"".join([known[p] for p in c]) for c in cuts]
 
 
 def encode_arrays(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +109,14 @@ def encode_arrays(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nd
     plain = not any(pc.any(pc.match_substring(texts, s)).as_py() for s in special)
     words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     numbered = words.flatten().dictionary_encode()
-    distinct = numbered.dictionary.to_pylist()
-    got = _encode_words([w for w in distinct if w not in known], path, plain)
-    long = {w: x for w, x in got.items() if len(w) > CACHE_LENGTH}
-    known |= {w: x for w, x in got.items() if len(w) <= CACHE_LENGTH} if long else got
-    pieces = [known[w] if w in known else long[w] for w in distinct] if long else [known[w] for w in distinct]
+    distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+    pieces = list(map(known.get, distinct))
+    missing = [i for i, x in enumerate(pieces) if x is None]
+    new = [distinct[i] for i in missing]
+    got = _encode_words(new, path, plain)
+    for i, x in zip(missing, got, strict=True):
+        pieces[i] = x
+    known |= {w: x for w, x in zip(new, got, strict=True) if len(w) <= CACHE_LENGTH}
     pieces.append(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
     starts = np.cumsum(lengths) - lengths
