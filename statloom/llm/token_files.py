@@ -32,7 +32,9 @@ from .pieces import CACHE_LENGTH, bounded
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 16 << 20, 64 << 10
 #: Bytes of text from which Arrow batches are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Parts kept by a worker before it starts anew.
+PARTS_KEPT = 300_000
 #: Characters that no normalizer joins or splits: printable ASCII and the letters of Latin-1.
 SIMPLE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 SIMPLE_LINE = regex.compile(r"[ -~À-ÖØ-öø-ÿ]*")
@@ -69,7 +71,7 @@ def _encode_words(new: list[str], path: str, plain: bool) -> list[bytes]:
     plain: no word holds a special string.
     """
     tokenizer, special, ends, cut_tokenizer = _tokenizer(path)
-    known = bounded(_parts.setdefault(path, {}))
+    known = bounded(_parts.setdefault(path, {}), PARTS_KEPT)
     cuts: list[str | list[str] | None] = []  # a part, some parts, or none where the library has to cut
     every = plain and SIMPLE_LINE.fullmatch(" ".join(new)) is not None
     for w in new:
@@ -126,7 +128,10 @@ def encode_arrays(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nd
     order = np.insert(numbered.indices.to_numpy().astype(np.int32), bounds[1:], len(pieces) - 1)
     each = lengths[order]
     stops = np.cumsum(each)
-    at = np.repeat(starts[order] - (stops - each), each) + np.arange(int(stops[-1]) if len(stops) else 0)
+    total = int(stops[-1]) if len(stops) else 0
+    place = np.int32 if total < 1 << 31 else np.int64
+    at = np.repeat((starts[order] - (stops - each)).astype(place), each)
+    at += np.arange(total, dtype=place)
     last = stops[bounds[1:] + np.arange(len(texts))] if len(texts) else stops
     return np.frombuffer(b"".join(pieces), "<u4")[at], np.diff(last, prepend=0)
 
