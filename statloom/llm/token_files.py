@@ -31,8 +31,6 @@ from .pieces import CACHE_LENGTH, bounded
 
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 16 << 20, 64 << 10
-#: Bytes of text from which Arrow batches are encoded together.
-BATCH_BYTES = 4 << 20
 #: Parts kept by a worker before it starts anew.
 PARTS_KEPT = 300_000
 #: Characters that no normalizer joins or splits: printable ASCII and the letters of Latin-1.
@@ -142,18 +140,6 @@ def encode_batch(texts: list[str], path: str, end_id: int | None) -> list[bytes]
     return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
-def _together(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Successive batches joined until they hold `size` bytes; so few batches look up the same words."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.nbytes for x in held) >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def write_tokens(df: DataFrame, out: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the texts of df and write them to the folder `out`.
 
@@ -165,7 +151,7 @@ def write_tokens(df: DataFrame, out: str, path: str, end_id: int | None = 2, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, offset = TaskContext.get().partitionId(), 0
-        for b in _together(batches):
+        for b in batches:
             ids, n = encode_arrays(b.column(1), path, end_id)
             stops = np.cumsum(n)
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids.view("<i4")))
