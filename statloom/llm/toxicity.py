@@ -42,12 +42,16 @@ K = len(LETTERS) + 1  # 0: no letter
 SIGN_COST, STAY_COST, WILD_COST, TWICE_COST, GAP_COST = 0.7, 3.0, 3.0, 0.7, 1.5
 
 SPACED = r"(?<![^\W_])(?:[^\W_]|[@$!])(?:[ .\-_*](?:[^\W_]|[@$!])){3,}(?![^\W_])"
-MIXED = r"[0-9@$!|+(€£]{0,3}[^\W\d_]+(?:[0-9@$!|+€£(*#]{1,2}[^\W\d_]*)+"
-REPEATED = r"[^\W_]*([^\W\d_])\1\1[^\W_]*"
+#: MIXED and REPEATED begin only where a run of letters does: at a later letter they match no text that they missed before.
+MIXED = r"(?:[0-9@$!|+(€£]{1,3}+|(?<![^\W\d_]))[^\W\d_]++(?:[0-9@$!|+€£(*#]{1,2}[^\W\d_]*)+"
+REPEATED = r"(?:(?<![^\W_])|(?=\d))[^\W_]*([^\W\d_])\1\1[^\W_]*"
 LED = r"[0-9@$!|€£]{1,2}[^\W\d_]{2,}"
 NOISY = re.compile(f"{SPACED}|{MIXED}|{LED}|{REPEATED}")
-#: A text without any of these has no noisy stretch; cheap to look for.
-HINT = re.compile(r"[0-9@$!|+€£(*#][^\W\d_]|[^\W\d_][0-9@$|+€£(*#!][^\W\d_\s]|([^\W\d_])\1\1|(?<![^\W_])[^\W_][ .\-_*][^\W_][ .\-_*][^\W_](?![^\W_])")
+#: What any noisy stretch holds besides a letter three times: a letter before a sign (MIXED), a sign before two letters (LED),
+#: or three set-apart characters, each after a separator (SPACED). Both begin with few characters, so they are quick to look for.
+BY_SIGN = re.compile(r"[0-9@$!|+€£(*#](?:(?<=[^\W\d_].)|(?<![+(*#])[^\W\d_]{2})")
+BY_GAP = re.compile(r"[ .\-_*](?:[^\W_]|[@$!])(?:[ .\-_*](?:[^\W_]|[@$!])){2}")
+LETTER = re.compile(r"[^\W\d_]")
 WORDS = re.compile(r"[^\W\d_]{2,}")
 STEM = 5
 #: Longest noisy stretch that is kept in a worker's table of restored stretches, and that table's size.
@@ -64,6 +68,7 @@ def _table() -> np.ndarray:
 
 
 _CODES = _table()
+_CODE = _CODES.tolist()
 
 
 def codes(text: str) -> np.ndarray:
@@ -72,6 +77,15 @@ def codes(text: str) -> np.ndarray:
     return _CODES[np.minimum(points, len(_CODES) - 1)]
 
 
+def may_be_noisy(text: str) -> bool:
+    """Whether a text may have a noisy stretch; true for every text in which NOISY finds one."""
+    if BY_SIGN.search(text) or BY_GAP.search(text):
+        return True
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    same = points[1:] == points[:-1]
+    return LETTER.search("".join(map(chr, set(points[2:][same[1:] & same[:-1]].tolist())))) is not None
+
+
 def character_model(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(third | first two) of 27 characters, smoothed, from counts of all trigrams of all texts."""
 
@@ -104,7 +118,7 @@ def lattice(stretch: str) -> list[list[tuple[tuple[int, ...], float]]]:
         while j < len(text) and text[j] == text[i]:
             j += 1
         c, n, options = text[i], j - i, {}
-        code = int(codes(c)[0])
+        code = _CODE[min(ord(c), len(_CODE) - 1)]
         if code:
             options[code,] = 0.0
             if n > 1:
@@ -125,8 +139,8 @@ def lattice(stretch: str) -> list[list[tuple[tuple[int, ...], float]]]:
     return out
 
 
-def restore_stretch(stretch: str, model: np.ndarray) -> str:
-    """The likeliest reading of a noisy stretch, as lower-case letters and spaces."""
+def restore_stretch(stretch: str, model: np.ndarray | list[list[list[float]]]) -> str:
+    """The likeliest reading of a noisy stretch, as lower-case letters and spaces. The model's nested lists are read faster."""
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*lattice(stretch), [((0,), 0.0)]]:
         now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -134,7 +148,7 @@ def restore_stretch(stretch: str, model: np.ndarray) -> str:
             for letters, cost in options:
                 x, y, s, trail = a, b, score - cost, before
                 for z in letters:
-                    s += model[x, y, z]
+                    s += model[x][y][z]
                     x, y, trail = y, z, (z, trail)
                 if (x, y) not in now or s > now[x, y][0]:
                     now[x, y] = s, trail
@@ -164,14 +178,14 @@ class Restorer:
     def stretch(self, m: re.Match) -> str:
         got = self.known.get(m[0])
         if got is None:
-            got = restore_stretch(m[0], self.array)
+            got = restore_stretch(m[0], self.model)
             if len(m[0]) <= KEPT_LENGTH and len(self.known) < KEPT:
                 self.known[m[0]] = got
         return f" {m[0]} {got} "
 
     def text(self, text: str) -> str:
         """The text in lower case, with the reading of each noisy stretch set beside it."""
-        return (NOISY.sub(self.stretch, text) if HINT.search(text) else text).lower()
+        return (NOISY.sub(self.stretch, text) if may_be_noisy(text) else text).lower()
 
     def words(self, text: str) -> set[str]:
         """The restored text's words, and the stems (first letters, marked with a star) of those that are longer."""

@@ -235,6 +235,22 @@ def test_restoring_beats_disguise(spark):
     assert "stupid" in r.text("stuuuupid") and "moron" in r.text("m o r o n") and "idiot" in r.text("an id1ot!")
 
 
+def test_every_noisy_text_is_decoded():
+    rng = np.random.default_rng(11)
+    made = ["".join(rng.choice(list("aabZé²٣_ .-*@$!|+(€£#017\n"), rng.integers(1, 14))) for _ in range(60_000)]
+    plain = re.compile(
+        r"(?<![^\W_])(?:[^\W_]|[@$!])(?:[ .\-_*](?:[^\W_]|[@$!])){3,}(?![^\W_])|[0-9@$!|+(€£]{0,3}[^\W\d_]+(?:[0-9@$!|+€£(*#]{1,2}[^\W\d_]*)+"
+        r"|[0-9@$!|€£]{1,2}[^\W\d_]{2,}|[^\W_]*([^\W\d_])\1\1[^\W_]*"
+    )
+    restorer = toxicity.Restorer(np.log(rng.dirichlet(np.ones(toxicity.K), (toxicity.K, toxicity.K))))
+    for t in ["f*** you", "hat3 you", "you a55", "you a$$", "an idio7", "idiot1", "s.h.!.t"]:
+        assert restorer.text(t) != t
+    for t in made:
+        spans = [m.span() for m in plain.finditer(t)]
+        assert [m.span() for m in toxicity.NOISY.finditer(t)] == spans and (toxicity.may_be_noisy(t) or not spans)
+    assert not any(toxicity.may_be_noisy(t) for t in ["", "a", "no sign here, 12 of (these).", "--- ... 1000"])
+
+
 def test_lattice_path_is_the_best():
     model = np.log(np.random.default_rng(4).dirichlet(np.ones(toxicity.K), (toxicity.K, toxicity.K)))
     options = toxicity.lattice("a1b5")
