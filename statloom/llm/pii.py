@@ -2,12 +2,12 @@
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers as usually written. The field labels the
 words of a line by shape features of the word and its neighbours, and finds veiled or unusual forms: "jo at mail dot org",
-"10[.]0[.]0[.]7", "4111.1111.1111.1111", "(202) 555-0143". It is trained by gradient ascent on the table of labelled
+"jo [at] mail.org", "10[.]0[.]0[.]7", "4111.1111.1111.1111", "(202) 555-0143". It is trained by gradient ascent on the table of labelled
 sentences that training_table() writes from a few dozen templates, and decoded by Viterbi over batches of lines in numpy.
 
 What the field finds is kept if its characters make a valid value of the kind (see _valid) and it meets no pattern's span.
-A valid value has four digits or a written-out "dot" with an "at", so only lines with these are decoded; other lines can
-hold none.
+A valid value has four digits, or a sign or veiled "at" with a name and a plain or veiled point after it, so only lines with
+these (or the word "dot") are decoded; other lines can hold none.
 """
 
 from __future__ import annotations
@@ -119,8 +119,9 @@ def training_table(rows: int = 400, seed: int = 7) -> list[tuple[list[str], list
     part = lambda: str(rng.integers(0, 256))
 
     def email() -> str:
-        i = rng.integers(len(AT))
-        return pick([f"{name()} {AT[i]} {name()} {DOT[i]} {pick(['com', 'org', 'net', 'edu'])}", f"{name()} {AT[i]} {name()} {DOT[i]} {name()} {DOT[i]} org"])
+        i = rng.integers(len(AT)) * rng.integers(2)  # the plain words most often
+        end, veil = pick(["com", "org", "net", "edu"]), AT[rng.integers(1, len(AT))]
+        return pick([f"{name()} {AT[i]} {name()} {DOT[i]} {end}", f"{name()} {AT[i]} {name()} {DOT[i]} {name()} {DOT[i]} org", f"{name()} {veil} {name()}.{end}", f"{name()}{veil}{name()}.{end}", f"{name()} {AT[i]} {name()}[.]{end}"])
 
     values = {
         "email": email,
@@ -129,7 +130,7 @@ def training_table(rows: int = 400, seed: int = 7) -> list[tuple[list[str], list
         "phone": lambda: pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"]),
     }
     before = {"email": ["email me:", "write to", "reach", "contact", "", "the"], "ip": ["host", "from ip", "server address", "", "the"], "card": ["card number", "visa", "credit card", ""], "phone": ["call", "phone", "tel", "fax", "mobile", "", "the"]}
-    plain = lambda: pick([name(), name(), name(), "the", "of", "at", "on", "dot", "", digits(pick([1, 2, 4, 6])), f"{digits(2)}.{digits(1)}", "room " + digits(3), "version " + pick(["1.2", "10.4.1"]), f"20{digits(2)}-0{pick('123456789')}-1{digits(1)}", "page " + digits(2), "order " + digits(12), digits(16), "met at " + name(), "the dot " + name()])
+    plain = lambda: pick([name(), name(), name(), "the", "of", "at", "on", "dot", "", digits(pick([1, 2, 4, 6])), f"{digits(2)}.{digits(1)}", "room " + digits(3), "version " + pick(["1.2", "10.4.1"]), f"20{digits(2)}-0{pick('123456789')}-1{digits(1)}", "page " + digits(2), "order " + digits(12), digits(16), "met at " + name(), "more at " + name() + ".com", name() + ".org", "the dot " + name()])
     out = []
     for _ in range(rows):
         words: list[str] = []
@@ -258,8 +259,10 @@ def _valid(kind: int, value: str) -> bool:
     return bool(EMAIL.fullmatch(value)) if kind == 0 else bool(_PLAIN_IP.fullmatch(value)) and _ip_ok(value)
 
 
-#: What a line with a valid value has.
-MAY_HOLD = re.compile(r"(?:[0-9][^0-9\n]*){4}|\bdot\b", re.I)
+#: What a line with a valid value has: four digits, or an "at", a name, and a point before another name.
+MAY_HOLD = re.compile(
+    r"(?:[0-9][^0-9\n]*){4}|\bdot\b|(?:@|[\[({<]\s*at\s*[\])}>]\s*|\sat\s+)[A-Za-z0-9-]+(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+(?:dot|\.)\s+)[A-Za-z0-9-]", re.I
+)
 LINE = re.compile(r"[^\n]+")
 TOKEN = re.compile(r"\S+")
 #: Cells (line, word) of a batch that is decoded at once.

@@ -123,6 +123,20 @@ def test_field_on_held_out_sentences():
     assert [str(s) for s in pii.find(["call (202) 555-0143 now", "host 10[.]0[.]0[.]7 down"], field)[1][0]] == ["phone:5:19"]
 
 
+def test_lines_with_valid_values_reach_the_field():
+    rng = np.random.default_rng(6)
+    parts = ["jo", "mail", "org", "x-1", "at", "AT", "dot", "@", ".", " ", " ", "  ", "[", "]", "(", ")", "{", "}", "<", ">", "[at]", "(dot)", "[.]", " at ", " dot ", " . ", "\t", "7", "10"]
+    made = ["".join(rng.choice(parts, rng.integers(3, 9))) for _ in range(100_000)]
+    made += [f"{a}{b}{c}" for a in ("jo", "jo.b") for b in ("@", " at ", "[at]", " (at) ", " {AT} ", "< at >") for c in ("mail.org", "mail[.]org", "mail dot org", "mail . org", "mail (dot) org")]
+    valid = [v for v in made if "\n" not in v and pii._valid(0, v) or pii._valid(1, v)]
+    assert len(valid) > 100 and all(pii.MAY_HOLD.search(f"write to {v}, please") for v in valid)
+    assert not any(pii.MAY_HOLD.search(t) for t in ["met at home. Then", "a (see b.c)", "at 10 to 1"])
+    field = pii.train()
+    for text, value in [("write to jo [at] mail.org today", "jo [at] mail.org"), ("contact ann (at) host.com", "ann (at) host.com"), ("reach jo(at)mail.org or call", "jo(at)mail.org"), ("email me: sam at corp[.]net", "sam at corp[.]net")]:
+        assert [text[s.start : s.end] for s in pii.find([text], field)[1][0] if s.kind == 0] == [value]
+    assert pii.find(["read more at example.com today"], field)[1] == [[]]
+
+
 def test_viterbi_is_exhaustive_search():
     rng = np.random.default_rng(2)
     scores, pair = rng.normal(size=(1, 4, 5)), rng.normal(size=(5, 5))
