@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,33 @@ def pairwise(df: DataFrame, y: str, by: str) -> DataFrame:
     return p.select("a", "b", d.alias("diff"), (F.abs(d) / F.sqrt(s / 2)).alias("q"), (d / F.sqrt(s)).alias("t"))
 
 
+def f_twoway_unequal(df: DataFrame, y: str, a: str, b: str) -> list[tuple[str, float, float, float]]:
+    """(term, ss, df, f) of the two-way layout with interaction, for cells of any size, with sums of squares of type III.
+
+    Each term is tested after all others, under contrasts that sum to 0; equal cells give what f_twoway gives. Rows with
+    nulls are left out; every level of a must meet every level of b.
+    """
+    cells = df.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = cells.agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_samp(y).alias("v")).collect()  # a row for each cell
+    la, lb = sorted({r.a for r in rows}), sorted({r.b for r in rows})
+    ka, kb, dfe = len(la), len(lb), sum(r.n - 1 for r in rows)
+    if min(ka, kb) < 2 or len(rows) < ka * kb or not dfe:
+        raise ValueError("two-way analysis needs two levels of each factor, no empty cell, and repeats")
+    at = {(r.a, r.b): r for r in rows}
+    n, m = (np.array([[float(at[i, j][k]) for j in lb] for i in la]) for k in ("n", "m"))
+    mse = sum((r.n - 1) * r.v for r in rows if r.n > 1) / dfe
+
+    def main(axis: int) -> float:
+        mean, w = m.mean(axis), m.shape[axis] ** 2 / (1 / n).sum(axis)  # weighted squares of means
+        return float((w * (mean - (w * mean).sum() / w.sum()) ** 2).sum())
+
+    x = np.hstack([np.repeat(np.eye(ka), kb, 0), np.tile(np.eye(kb), (ka, 1))])  # levels of a cell
+    root = np.sqrt(n.ravel())
+    fit = x @ np.linalg.lstsq(x * root[:, None], m.ravel() * root, rcond=None)[0]
+    terms = [("a", main(1), ka - 1), ("b", main(0), kb - 1), ("ab", float((n.ravel() * (m.ravel() - fit) ** 2).sum()), (ka - 1) * (kb - 1))]
+    return [(t, ss, float(k), ss / k / mse) for t, ss, k in terms]
+
+
 def f_twoway(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     """(term, ss, df, f) of the two-way layout with interaction, for balanced cells (cell means weigh alike)."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_samp(y).alias("v"))

@@ -49,6 +49,9 @@ t AS (SELECT count(DISTINCT a) AS ka, count(DISTINCT b) AS kb, sum((n-1)*v)/sum(
 u AS (SELECT 'a' AS term, sa AS ss, ka-1 AS df, mse FROM t UNION ALL SELECT 'b', sb, kb-1, mse FROM t UNION ALL SELECT 'ab', sab, (ka-1)*(kb-1), mse FROM t)
 SELECT term, ss, df, ss/df/mse AS f FROM u""", 7)
 
+#: All orders, whatever their cells' sizes. Without SQL: the interaction solves a weighted system.
+register("anova_twoway_unequal", "term:s ss:d df:d f:d", lambda s, d: from_row(s, ["term", "ss", "df", "f"], anova.f_twoway_unequal(table(s, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority"), "sddd"), digits=7)
+
 # --- least squares -----------------------------------------------------------------------------------------------------
 
 R1 = "SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy, avg(l_quantity) AS mx, count(*) AS n FROM lineitem"

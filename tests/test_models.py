@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from statloom.functions import special
 from statloom.model_queries import GRIDS
 from statloom.operators import linear, models, multivariate, survival
+from statloom.queries import QUERIES
 from statloom.sources import spells, table
 
 
@@ -126,3 +127,25 @@ def test_efron_without_ties_is_breslow(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(i + 1), int(e), float(v)) for i, (e, v) in enumerate(zip(rng.integers(0, 2, 80), rng.normal(size=80), strict=True))], "time double, event int, x double")
     assert np.allclose(survival.cox_efron(df, 0.3).first(), survival.cox_breslow(df, 0.3).first())
+
+
+def test_unequal_cells_use_all_orders(spark, small):
+    rows = table(spark, small, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice").collect()
+    y = np.array([r.o_totalprice for r in rows], float)
+
+    def contrasts(names):
+        levels = sorted(set(names))
+        return np.array([[(v == k) - (v == levels[-1]) for k in levels[:-1]] for v in names], float)
+
+    a, b = contrasts([r.o_orderstatus for r in rows]), contrasts([r.o_orderpriority for r in rows])
+    parts = {"a": a, "b": b, "ab": (a[:, :, None] * b[:, None, :]).reshape(len(y), -1)}
+
+    def error(without=None):
+        x = np.hstack([np.ones((len(y), 1)), *[v for k, v in parts.items() if k != without]])
+        return float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
+
+    mse = error() / (len(y) - sum(v.shape[1] for v in parts.values()) - 1)
+    got = {r.term: r for r in QUERIES["anova_twoway_unequal"](spark, small).collect()}
+    for k, v in parts.items():
+        ss = error(k) - error()
+        assert got[k].df == v.shape[1] and math.isclose(got[k].ss, ss, rel_tol=1e-5) and math.isclose(got[k].f, ss / v.shape[1] / mse, rel_tol=1e-5)
