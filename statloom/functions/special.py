@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +70,45 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x < 0, 0.5 - half).otherwise(0.5 + half)
 
 
+#: The rational approximations of Acklam for the normal quantile, centre and tails, numerators and denominators.
+_PPF = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
+def norm_ppf(q: Column) -> Column:
+    """The normal quantile: a rational approximation, then two steps of Halley's method on the distribution function."""
+
+    def poly(x: Column, terms: tuple[float, ...]) -> Column:
+        out = F.lit(terms[0])
+        for t in terms[1:]:
+            out = out * x + t
+        return out
+
+    def halley(x: Column) -> Column:
+        e = (norm_cdf(x) - q) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+        return x - e / (1 + x * e / 2)
+
+    c, r = q - 0.5, F.sqrt(-2 * F.log(F.least(q, 1 - q)))
+    centre = poly(c * c, _PPF[0]) * c / poly(c * c, _PPF[1])
+    tail = poly(r, _PPF[2]) / poly(r, _PPF[3])
+    start = F.when(F.least(q, 1 - q) > 0.02425, centre).when(q < 0.5, tail).otherwise(-tail)
+    # each step's value is bound once, as a column that is written out would double with each use
+    steps = F.aggregate(F.array(F.lit(0), F.lit(1)), start, lambda x, _: halley(x))
+    return F.when(q <= 0, float("-inf")).when(q >= 1, float("inf")).otherwise(steps)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series from x + 8, less the logarithms passed over."""
+    z = x + 8.0
+    passed = x * (x + 1.0) * (x + 2.0) * (x + 3.0) * (x + 4.0) * (x + 5.0) * (x + 6.0) * (x + 7.0)
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(passed)
+
+
 def t_cdf(x: Column, df: float) -> Column:
     tail = 0.5 * betainc(df / 2, 0.5, df / (df + x * x))
     return F.when(x < 0, tail).otherwise(1 - tail)
@@ -142,6 +182,81 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     return betainc_value(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+def norm_sf_two_sided(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def norm_quantile(q: float) -> float:
+    low, high = -40.0, 40.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 0.5 * math.erfc(-mid / math.sqrt(2)) < q else (low, mid)
+    return (low + high) / 2
+
+
+def gammainc_value(a: float, x: float) -> float:
+    """The regularized lower incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x <= a + 1:
+        total, term, n = 1 / a, 1 / a, 1
+        while abs(term) > TINY * abs(total):
+            term *= x / (a + n)
+            total += term
+            n += 1
+        return scale * total
+    depth = 200 + int(20 * math.sqrt(a))
+    below = x + 2.0 * depth + 1 - a
+    for n in range(depth, 0, -1):
+        below = x + 2.0 * n - 1 - a - n * (n - a) / below
+    return 1 - scale / below
+
+
+def chi2_sf(x: float, df: float) -> float:
+    return 1 - gammainc_value(df / 2, x / 2)
+
+
+def studentized_range_sf(q: float, k: int, df: float) -> float:
+    """P(range of k normal values over an independent scale with df degrees > q), by Gauss-Legendre sums in both integrals."""
+    if q <= 0:
+        return 1.0
+    x, w = np.polynomial.legendre.leggauss(96)
+
+    def range_cdf(r: np.ndarray) -> np.ndarray:
+        """P(range <= r) of k normal values."""
+        z = 8.0 * x
+        phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        inside = _norm_cdf_values(z[None, :]) - _norm_cdf_values(z[None, :] - r[:, None])
+        return k * (8.0 * w * phi * inside ** (k - 1)).sum(1)
+
+    if df > 1e5:
+        return float(1 - range_cdf(np.array([q]))[0])
+    # the scale s has df s^2 ~ chi-square: integrate over s around 1
+    spread = 10 / math.sqrt(2 * df)
+    low, high = max(1e-8, 1 - spread), 1 + max(spread, 12 / df)
+    s = (high - low) / 2 * x + (high + low) / 2
+    log_density = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
+    return float(max(0.0, 1 - ((high - low) / 2 * w * np.exp(log_density) * range_cdf(q * s)).sum()))
+
+
+def studentized_range_quantile(p: float, k: int, df: float) -> float:
+    low, high = 0.0, 4.0
+    while studentized_range_sf(high, k, df) > 1 - p:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if studentized_range_sf(mid, k, df) > 1 - p else (low, mid)
+    return (low + high) / 2
+
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _norm_cdf_values(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(-z / math.sqrt(2))
+
+
 def t_quantile(q: float, df: float) -> float:
     """The quantile of Student's distribution for q >= 0.5."""
     low, high = 0.0, 1.0

@@ -12,8 +12,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.losses import get_loss
 from ..functions.special import norm_cdf, t_quantile, t_sf_two_sided
 from ..plans import gram, linear
+from . import glm
 from .linear import LinearModel, _solve, ols
 
 #: Tuning constants of the M-estimators (95 % efficiency at the normal distribution).
@@ -29,34 +31,17 @@ def inference(df: DataFrame, m: LinearModel, alpha: float = 0.05) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_err double, t double, p double, low double, high double")
 
 
-def robust_weight(kind: str, u: Column) -> Column:
-    """psi(u) / u of an M-estimator at a scaled residual."""
-    c, a = TUNING[kind], F.abs(u)
-    if kind == "huber":
-        return F.when(a <= c, 1.0).otherwise(c / a)
-    if kind == "bisquare":
-        return F.when(a <= c, F.pow(1 - u * u / (c * c), F.lit(2.0))).otherwise(0.0)
-    return 1 / (1 + a / c)
+def robust_scale(df: DataFrame, y: str, x: Sequence[str], beta: Sequence[float]) -> float:
+    """Median absolute residual / 0.6745, about 0."""
+    r = F.col(y) - linear([F.lit(1.0), *[F.col(c) for c in x]], beta)
+    return (df.agg(F.percentile_approx(F.abs(r), 0.5, MEDIAN_ACCURACY)).first()[0] or 0.0) / 0.6745 or 1.0
 
 
-def robust_fit(df: DataFrame, y: str, x: Sequence[str], kind: str = "huber", steps: int = 50) -> tuple[np.ndarray, float]:
-    """Coefficients and scale (median absolute residual / 0.6745) of an M-estimator by reweighted least squares.
-
-    The scale is that of the least-squares fit, renewed once, so that the fixed point doesn't depend on the path.
-    """
-    terms = [F.lit(1.0), *[F.col(c) for c in x]]
-    k, beta, scale = len(terms), ols(df, y, x).beta, 1.0
-    for step in range(steps):
-        r = F.col(y) - linear(terms, beta)
-        if step in (0, 5):
-            scale = (df.agg(F.percentile_approx(F.abs(r), 0.5, MEDIAN_ACCURACY)).first()[0] or 0.0) / 0.6745 or 1.0
-        g = gram(df, [*terms, F.col(y)], robust_weight(kind, r / scale))
-        new = _solve(g[:k, :k], g[:k, k])
-        done = step > 5 and np.abs(new - beta).max() < 1e-9 * (1 + np.abs(beta).max())
-        beta = new
-        if done:
-            break
-    return beta, scale
+def robust_fit(df: DataFrame, y: str, x: Sequence[str], kind: str = "huber", epsilon: float | None = None, penalty: str = "none", alpha: float = 1.0) -> glm.Fit:
+    """An M-estimator (huber, bisquare, fair) whose width is epsilon times the scale of the least-squares residuals."""
+    scale = robust_scale(df, y, x, ols(df, y, x).beta)
+    start = [df.agg(F.percentile_approx(y, 0.5, MEDIAN_ACCURACY)).first()[0] or 0.0, *[0.0] * len(x)]
+    return glm.fit(df, y, x, get_loss(kind, delta=scale * (epsilon or TUNING[kind])), penalty, alpha, start=start)
 
 
 def quantile_fit(df: DataFrame, y: str, x: Sequence[str], q: float = 0.5, steps: int = 80) -> np.ndarray:
@@ -244,16 +229,3 @@ def penalized_spline(df: DataFrame, y: str, basis: Sequence[Column], strengths:
             best = score, beta, float(lam), size
     assert best is not None, "no strengths given"
     return best[1], best[2], best[3]
-
-
-def permuted_differences(df: DataFrame, y: str, group: str, id_col: str, reps: int) -> DataFrame:
-    """(rep, diff): difference of means of y between groups 1 and 0, with labels dealt anew in each repetition.
-
-    A label is drawn with the observed share from an integer generator of id and repetition, so rows need no order.
-    """
-    share = df.agg(F.sum(group), F.count("*")).first()
-    keys = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    rows = df.select(F.col(id_col).alias("id"), F.col(y).alias("y"), keys)
-    u = (((F.col("id") * 7919 + F.col("rep") * 104729 + 12345) % 2147483647) * 48271) % 2147483647
-    one = u * F.lit(share[1]) < F.lit(share[0]).cast("long") * F.lit(2147483647)
-    return rows.groupBy("rep").agg((F.avg(F.when(one, F.col("y"))) - F.avg(F.when(~one, F.col("y")))).alias("diff"))

@@ -151,21 +151,6 @@ def draw(i: Column, rep: Column, n: Column) -> Column:
     return (((i * 7919 + rep * 104729 + 12345) % 2147483647) * 48271) % 2147483647 % n
 
 
-def bootstrap_mean(df: DataFrame, x: str, id_col: str, reps: int) -> DataFrame:
-    """(rep, mean): means of resamples of the rows' own number, drawn with replacement by rank."""
-    ranked = df.select((F.row_number().over(Window.orderBy(id_col)) - 1).cast("long").alias("i"), F.col(x).cast("double").alias("v"))
-    n = ranked.count()
-    drawn = ranked.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    drawn = drawn.select("rep", draw(F.col("i"), F.col("rep"), F.lit(n)).alias("i"))
-    return drawn.join(ranked, "i").groupBy("rep").agg(F.avg("v").alias("mean"))
-
-
-def folds(df: DataFrame, id_col: str, k: int) -> DataFrame:
-    """(id, fold): k contiguous folds in an order drawn from the id; the first folds are one larger."""
-    h = draw(F.col(id_col), F.lit(1), F.lit(1 << 30))
-    return df.select(F.col(id_col).alias("id"), (F.ntile(k).over(Window.orderBy(h, id_col)) - 1).alias("fold"))
-
-
 def bspline(x: Column, knots: Sequence[float], degree: int, i: int) -> Column:
     """The i-th B-spline basis function of a degree on knots, by the Cox-de Boor recursion."""
     if degree == 0:

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns up to which a Gram matrix is summed by expressions; wider rows are summed in blocks by numpy.
+NARROW = 6
+#: Tasks whose partial matrices one task adds up.
+FAN = 32
+
+
 def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:
-    """Sum of w * c c' over rows, in one aggregate with partial sums; rows with a null in any column are left out."""
+    """Sum of w * c c' over rows; rows with a null in any column are left out.
+
+    Few columns are one aggregate of expressions. Of more, each task adds up blocks of rows by one matrix product, and the
+    tasks' matrices, of a size that depends on the columns alone, are added in a tree.
+    """
     k = len(columns)
     named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)], (F.lit(1.0) if weight is None else weight.cast("double")).alias("w")).na.drop()
+    if k > NARROW:
+        return _gram_blocks(named, k)
     sums = [F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
     row = named.agg(*sums).first()
     out = np.zeros((k, k))
@@ -22,6 +35,31 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None)
     return out
 
 
+def _gram_blocks(named: DataFrame, k: int) -> np.ndarray:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            total += (x[:k] * x[k]) @ x[:k].T
+        yield packed(total)
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k)
+        for b in batches:
+            for g in b.column(0):
+                total += np.frombuffer(g.as_py())
+        yield packed(total)
+
+    partial, parts = named.mapInArrow(block, "g binary"), named.rdd.getNumPartitions()
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        partial = partial.repartition(parts).mapInArrow(add, "g binary")
+    return sum((np.frombuffer(r.g) for r in partial.collect()), np.zeros(k * k)).reshape(k, k)  # at most FAN matrices
+
+
 def linear(terms: Sequence[Column], beta: Sequence[float]) -> Column:
     """The sum of terms times coefficients."""
     out = F.lit(0.0)

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from . import model_queries, streaming  # noqa: F401  the former adds its queries to the catalogue
-from .operators import anova, linear, multivariate, panel, survival, testing
+from . import fit_sql, model_queries, streaming  # noqa: F401  the former adds its queries to the catalogue
+from .operators import anova, linear, multivariate, panel, resampling, survival, testing
 from .plans import gram
-from .registry import ORACLES, QUERIES, from_row, register  # noqa: F401
+from .registry import ORACLES, QUERIES, f_sf_sql, from_row, register, t_two_sided_sql  # noqa: F401
 from .sources import p_values, scores, spells, table
 from .sources import panel as panel_view
 
@@ -19,35 +19,40 @@ from .sources import panel as panel_view
 G = "g AS (SELECT {by} AS g, count(*) AS n, avg({y}) AS m, var_samp({y}) AS v FROM {t} GROUP BY ALL)"
 GL = G.format(by="l_returnflag", y="l_extendedprice", t="lineitem")
 GC = G.format(by="c_mktsegment", y="c_acctbal", t="customer")
-register("anova_oneway", "k:i n:i ss_between:d ss_within:d f:d eta_squared:d cohens_f:d", lambda s, d: anova.f_oneway(table(s, d, "lineitem"), "l_extendedprice", "l_returnflag"), f"""
+#: Three groups: the tail of F with 2 and d degrees is (1 + 2f/d)^(-d/2).
+register("anova_oneway", "k:i n:i ss_between:d ss_within:d f:d p:r df_between:i df_within:i eta_squared:d cohens_f:d", lambda s, d: anova.f_oneway(table(s, d, "lineitem"), "l_extendedprice", "l_returnflag"), f"""
 WITH {GL}, t AS (SELECT count(*) AS k, sum(n) AS n, sum(n*m)/sum(n) AS gm, sum((n-1)*v) AS ss_within FROM g),
-b AS (SELECT t.*, (SELECT sum(g.n*(g.m-t.gm)*(g.m-t.gm)) FROM g) AS ss_between FROM t)
-SELECT *, (ss_between/(k-1))/(ss_within/(n-k)) AS f, ss_between/(ss_between+ss_within) AS eta_squared, sqrt(ss_between/ss_within) AS cohens_f FROM b""", 7)
-register("anova_welch", "f:d df1:d df2:d", lambda s, d: anova.f_welch(table(s, d, "lineitem"), "l_extendedprice", "l_returnflag"), f"""
+b AS (SELECT t.*, (SELECT sum(g.n*(g.m-t.gm)*(g.m-t.gm)) FROM g) AS ss_between FROM t), f AS (SELECT *, (ss_between/(k-1))/(ss_within/(n-k)) AS f FROM b)
+SELECT *, pow(1+2*f/(n-k), -(n-k)/2.0::DOUBLE) AS p, k-1 AS df_between, n-k AS df_within, ss_between/(ss_between+ss_within) AS eta_squared, sqrt(ss_between/ss_within) AS cohens_f FROM f""", 7)
+register("anova_welch", "f:d df1:d df2:d p:r", lambda s, d: anova.f_welch(table(s, d, "lineitem"), "l_extendedprice", "l_returnflag"), f"""
 WITH {GL}, w AS (SELECT *, n/v AS w FROM g), t AS (SELECT count(*) AS k, sum(w) AS sw, sum(w*m)/sum(w) AS gm FROM w),
-a AS (SELECT any_value(k) AS k, sum(w*(m-gm)*(m-gm)) AS a, sum((1-w/sw)*(1-w/sw)/(n-1)) AS l FROM w, t)
-SELECT (a/(k-1))/(1+2*(k-2)/(k*k-1)*l) AS f, k-1 AS df1, (k*k-1)/(3*l) AS df2 FROM a""", 7)
-register("tukey_pairs", "a:s b:s diff:d q:d t:d", lambda s, d: anova.pairwise(table(s, d, "customer"), "c_acctbal", "c_mktsegment"), f"""
+a AS (SELECT any_value(k) AS k, sum(w*(m-gm)*(m-gm)) AS a, sum((1-w/sw)*(1-w/sw)/(n-1)) AS l FROM w, t),
+f AS (SELECT (a/(k-1))/(1+2*(k-2)/(k*k-1)*l) AS f, k-1 AS df1, (k*k-1)/(3*l) AS df2 FROM a) SELECT *, pow(1+2*f/df2, -df2/2) AS p FROM f""", 7)
+register("tukey_pairs", "a:s b:s diff:d q:d t:d", lambda s, d: anova.tukey(table(s, d, "customer"), "c_acctbal", "c_mktsegment"), f"""
 WITH {GC}, e AS (SELECT sum((n-1)*v)/sum(n-1) AS mse FROM g)
 SELECT a.g AS a, b.g AS b, b.m-a.m AS diff, abs(b.m-a.m)/sqrt(mse*(1.0/a.n+1.0/b.n)/2) AS q, (b.m-a.m)/sqrt(mse*(1.0/a.n+1.0/b.n)) AS t FROM g a, g b, e WHERE a.g < b.g""", 7)
+register("bonferroni_pairs", "a:s b:s diff:d t:d df:d p:r reject:t", lambda s, d: anova.bonferroni(table(s, d, "customer"), "c_acctbal", "c_mktsegment"), f"""
+WITH {GC}, j AS (SELECT a.g AS a, b.g AS b, b.m-a.m AS diff, a.v/a.n AS va, b.v/b.n AS vb, a.n AS na, b.n AS nb FROM g a, g b WHERE a.g < b.g),
+t AS (SELECT a, b, diff, diff/sqrt(va+vb) AS t, pow(va+vb,2)/(va*va/(na-1)+vb*vb/(nb-1)) AS df FROM j), p AS (SELECT *, {t_two_sided_sql('t', 'df')} AS p FROM t)
+SELECT a, b, diff, t, df, p, p < 0.05/(SELECT count(*) FROM t) AS reject FROM p""", 7)
 
 
-def _balanced(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderkey")
-    cell = Window.partitionBy("o_orderstatus", "o_orderpriority")
-    o = o.withColumn("r", F.row_number().over(cell.orderBy("o_orderkey")))
-    least = o.groupBy("o_orderstatus", "o_orderpriority").count().agg(F.min("count").alias("m"))
-    return o.crossJoin(F.broadcast(least)).where("r <= m")
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    """Mean price by line number, month and remainder of the quantity: as many rows in each line number x month."""
+    return table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("a"), F.month("l_shipdate").alias("b"), (F.col("l_quantity") % 3).cast("int").alias("r")).agg(F.avg("l_extendedprice").alias("y"))
 
 
-register("anova_twoway", "term:s ss:d df:d f:d", lambda s, d: anova.f_twoway(_balanced(s, d), "o_totalprice", "o_orderstatus", "o_orderpriority"), """
-WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, o_totalprice AS y, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS r FROM orders),
-l AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM o GROUP BY a, b)), x AS (SELECT a, b, y FROM o, l WHERE r <= m),
+TWOWAY = """WITH x AS (SELECT l_linenumber AS a, month(l_shipdate) AS b, CAST(l_quantity % 3 AS INTEGER) AS r, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2, 3),
 c AS (SELECT a, b, count(*) AS n, avg(y) AS m, var_samp(y) AS v FROM x GROUP BY a, b),
 j AS (SELECT *, avg(m) OVER (PARTITION BY a) AS ma, avg(m) OVER (PARTITION BY b) AS mb, avg(m) OVER () AS g FROM c),
-t AS (SELECT count(DISTINCT a) AS ka, count(DISTINCT b) AS kb, sum((n-1)*v)/sum(n-1) AS mse, sum(n*(ma-g)*(ma-g)) AS sa, sum(n*(mb-g)*(mb-g)) AS sb, sum(n*(m-ma-mb+g)*(m-ma-mb+g)) AS sab FROM j),
-u AS (SELECT 'a' AS term, sa AS ss, ka-1 AS df, mse FROM t UNION ALL SELECT 'b', sb, kb-1, mse FROM t UNION ALL SELECT 'ab', sab, (ka-1)*(kb-1), mse FROM t)
-SELECT term, ss, df, ss/df/mse AS f FROM u""", 7)
+t AS (SELECT count(DISTINCT a) AS ka, count(DISTINCT b) AS kb, sum((n-1)*v) AS sse, sum(n-1) AS dfe, sum(n*(ma-g)*(ma-g)) AS sa, sum(n*(mb-g)*(mb-g)) AS sb, sum(n*(m-ma-mb+g)*(m-ma-mb+g)) AS sab FROM j)"""
+for _inter in (True, False):
+    _e = "sse, dfe" if _inter else "sse+sab, dfe+(ka-1)*(kb-1)"
+    register("anova_twoway" if _inter else "anova_twoway_additive", "term:s ss:d df:d f:d p:r eta_squared:d", lambda s, d, i=_inter: anova.f_twoway(_cells(s, d), "y", "a", "b", i), f"""
+{TWOWAY}, e AS (SELECT *, sa+sb+sab+sse AS total FROM t), o AS (SELECT ka, kb, sa, sb, sab, total, {_e.replace(',', ' AS se,')} AS de FROM e),
+u AS (SELECT 'a' AS term, sa AS ss, ka-1 AS df, se, de, total FROM o UNION ALL SELECT 'b', sb, kb-1, se, de, total FROM o {"UNION ALL SELECT 'ab', sab, (ka-1)*(kb-1), se, de, total FROM o" if _inter else ""}),
+f AS (SELECT term, ss, df, ss/df/(se/de) AS f, de, total FROM u)
+SELECT term, ss, df, f, {f_sf_sql('f', 'df', 'de')} AS p, ss/total AS eta_squared FROM f UNION ALL SELECT 'residual', se, de, NULL, NULL, NULL FROM o""", 6)
 
 #: All orders, whatever their cells' sizes. Without SQL: the interaction solves a weighted system.
 register("anova_twoway_unequal", "term:s ss:d df:d f:d", lambda s, d: from_row(s, ["term", "ss", "df", "f"], anova.f_twoway_unequal(table(s, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority"), "sddd"), digits=7)
@@ -111,33 +116,6 @@ register("ols_categorical", "level:s contrast:d", lambda s, d: LI(s, d).groupBy(
 SELECT l_returnflag AS level, avg(l_extendedprice) - (SELECT avg(l_extendedprice) FROM lineitem WHERE l_returnflag = (SELECT min(l_returnflag) FROM lineitem)) AS contrast FROM lineitem GROUP BY 1""", 5)
 
 
-def _penalized(s: SparkSession, d: str, penalty: str) -> DataFrame:
-    df = LI(s, d).withColumn("y", F.col("l_extendedprice") / 1000 + F.col("l_quantity") / 10 - 3 * F.col("l_discount"))
-    cols = ["l_quantity", "l_discount", "l_tax", "y"]
-    g = gram(df, [F.lit(1.0), *[F.col(c) for c in cols]])
-    c = g[1:, 1:] / g[0, 0] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0] ** 2
-    sd = np.sqrt(np.diag(c))
-    sd[-1] = 1.0
-    b = linear.coordinate_descent(c / np.outer(sd, sd), penalty, 0.05, 0.5 if penalty == "elastic_net" else 1.0)
-    return from_row(s, ["term", "estimate"], [(n, float(v)) for n, v in zip(cols, b, strict=False)], "sd")
-
-
-for _p in ("lasso", "elastic_net", "scad", "mcp"):
-    register(f"penalized_{_p}", "term:s estimate:d", lambda s, d, p=_p: _penalized(s, d, p))
-
-
-def _glm(s: SparkSession, d: str, family: str) -> DataFrame:
-    if family == "logistic":
-        df = scores(s, d).withColumn("x", F.col("score") / 1000)
-    else:
-        df = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("y"), F.avg("value").alias("x"))
-    b = linear.glm(df, "y", ["x"], family)
-    return from_row(s, ["intercept", "slope"], [tuple(map(float, b))], "dd")
-
-
-for _f in ("logistic", "poisson", "gamma"):
-    register(f"glm_{_f}", "intercept:d slope:d", lambda s, d, f=_f: _glm(s, d, f))
-
 # --- scalar functions --------------------------------------------------------------------------------------------------
 
 LOSS_ROWS = "SELECT l_quantity/10 AS y, 0.4 + l_discount - l_tax AS e FROM lineitem"
@@ -180,13 +158,16 @@ ADJ = {
     "bh": "min(p*m/r) OVER (ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "by": "min(p*m*c/r) OVER (ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
 }
 for _m, _q in ADJ.items():
-    register(f"padj_{_m}", "id:i p_adj:d", lambda s, d, m=_m: testing.adjust(p_values(s, d), "p", m, "id"), f"""
-WITH r AS (SELECT id, p, count(*) OVER () AS m, row_number() OVER (ORDER BY p, id) AS r FROM pvals), h AS (SELECT *, sum(1.0::DOUBLE/r) OVER () AS c FROM r)
-SELECT id, least({_q}, 1.0) AS p_adj FROM h""")
-register("padj_bh_by_family", "id:i p_adj:d", lambda s, d: testing.adjust(p_values(s, d), "p", "bh", "id", ("family",)), """
-WITH r AS (SELECT id, family, p, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r FROM pvals)
-SELECT id, least(min(p*m/r) OVER (PARTITION BY family ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS p_adj FROM r""")
-register("pcombine", "family:s k:i fisher:d cauchy_p:d", lambda s, d: testing.combine(p_values(s, d), "p", "family"), "SELECT family, count(*) AS k, -2*sum(ln(p)) AS fisher, 0.5-atan(avg(tan((0.5-p)*pi())))/pi() AS cauchy_p FROM pvals GROUP BY 1", 6)
+    register(f"padj_{_m}", "id:i p_adj:d reject:t", lambda s, d, m=_m: testing.adjust(p_values(s, d), "p", m, "id"), f"""
+WITH r AS (SELECT id, p, count(*) OVER () AS m, row_number() OVER (ORDER BY p, id) AS r FROM pvals), h AS (SELECT *, sum(1.0::DOUBLE/r) OVER () AS c FROM r), a AS (SELECT id, least({_q}, 1.0) AS p_adj FROM h)
+SELECT id, p_adj, p_adj <= 0.05 AS reject FROM a""")
+register("padj_bh_by_family", "id:i p_adj:d reject:t", lambda s, d: testing.adjust(p_values(s, d), "p", "fdr_bh", "id", ("family",)), """
+WITH r AS (SELECT id, family, p, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r FROM pvals),
+a AS (SELECT id, least(min(p*m/r) OVER (PARTITION BY family ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS p_adj FROM r) SELECT id, p_adj, p_adj <= 0.05 AS reject FROM a""")
+#: Fisher's tail by Simpson's rule over the chi-square density with 2k degrees; Stouffer's z is checked by its own tail.
+register("pcombine", "family:s k:i fisher:d fisher_p:r cauchy_p:d", lambda s, d: testing.combine(p_values(s, d), "p", "family"), """
+WITH c AS (SELECT family, count(*) AS k, -2*sum(ln(p)) AS fisher, 0.5-atan(avg(tan((0.5-p)*pi())))/pi() AS cauchy_p FROM pvals GROUP BY 1)
+SELECT *, 1-fisher/12000.0::DOUBLE*(SELECT sum(CASE WHEN j=4000 THEN 1 WHEN j%2=1 THEN 4 ELSE 2 END*exp((k-1)*ln(fisher*j/4000)-fisher*j/8000-k*ln(2)-lgamma(k::DOUBLE))) FROM range(1,4001) q(j)) AS fisher_p FROM c""", 6)
 
 # --- panel -------------------------------------------------------------------------------------------------------------
 
@@ -228,7 +209,7 @@ WITH a AS (SELECT time, sum(event) AS d, sum(event*(x>2.5)::INT) AS d1, count(*)
 r AS (SELECT d, d1, sum(k) OVER w AS n, sum(k1) OVER w AS n1 FROM a WINDOW w AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT sum(d1) AS observed, sum(d*n1/n) AS expected, sum(CASE WHEN n>1 THEN d*(n1/n)*(1-n1/n)*(n-d)/(n-1) ELSE 0 END) AS variance FROM r WHERE d > 0)
 SELECT *, (observed-expected)*(observed-expected)/variance AS chi2 FROM t""", 5)
-register("cox_fit", "beta:d", lambda s, d: from_row(s, ["beta"], [(survival.cox_fit(spells(s, d)),)], "d"))
+register("cox_fit", "beta:d", lambda s, d: from_row(s, ["beta"], [(survival.cox_fit(spells(s, d)),)], "d"), fit_sql.cox(), digits=6)
 
 # --- covariance, clusters, kernels, resampling -------------------------------------------------------------------------
 
@@ -273,7 +254,7 @@ DIST = ", ".join(f"(l_quantity-{a})*(l_quantity-{a})+(l_discount-{b})*(l_discoun
 register("kmeans_step", "label:i n:i inertia:d l_quantity:d l_discount:d", lambda s, d: multivariate.kmeans_step(LI(s, d), ["l_quantity", "l_discount"], CENTRES), f"""
 WITH t AS (SELECT l_quantity, l_discount, {DIST} FROM lineitem), a AS (SELECT *, CASE WHEN d0<=d1 AND d0<=d2 THEN 0 WHEN d1<=d2 THEN 1 ELSE 2 END AS label, least(d0,d1,d2) AS d2_ FROM t)
 SELECT label, count(*) AS n, sum(d2_) AS inertia, avg(l_quantity) AS l_quantity, avg(l_discount) AS l_discount FROM a GROUP BY 1""", 6)
-register("kmeans_fit", "label:i a:d b:d", lambda s, d: from_row(s, ["label", "a", "b"], [(float(i), *map(float, c)) for i, c in enumerate(multivariate.kmeans(LI(s, d), ["l_quantity", "l_discount"], CENTRES))], "ddd"))
+register("kmeans_fit", "label:i a:d b:d", lambda s, d: from_row(s, ["label", "a", "b"], [(float(i), *map(float, c)) for i, c in enumerate(multivariate.kmeans(LI(s, d), ["l_quantity", "l_discount"], CENTRES))], "ddd"), fit_sql.kmeans("lineitem", "l_quantity", "l_discount", CENTRES), digits=6)
 register("clusters_1d", "id:i label:i", lambda s, d: multivariate.clusters_1d(table(s, d, "supplier"), "s_acctbal", "s_suppkey", 100.0), """
 WITH g AS (SELECT s_suppkey AS id, s_acctbal AS x, CASE WHEN s_acctbal-lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) > 100 THEN 1 ELSE 0 END AS c FROM supplier)
 SELECT id, sum(c) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS label FROM g""")
@@ -292,11 +273,23 @@ register("kernel_landmarks", "a:i b:i linear:d rbf:d cosine:d laplacian:d polyno
 WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT * FROM v ORDER BY ((id * 7919 + 117074) % 2147483647) * 48271 % 2147483647, id LIMIT 20),
 j AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v,b.v) AS d, list_dot_product(a.v,a.v) AS aa, list_dot_product(b.v,b.v) AS bb, list_sum(list_transform(list_zip(a.v,b.v), lambda z: abs(z[1]-z[2]))) AS l1 FROM v a, m b)
 SELECT a, b, d AS linear, exp(-0.5*(aa+bb-2*d)) AS rbf, d/sqrt(aa*bb) AS cosine, exp(-0.1*l1) AS laplacian, pow(0.5*d+1,3) AS polynomial, tanh(0.5*d+1) AS sigmoid FROM j""", 6)
-LCG = "((({i} * 7919 + {r} * 104729 + 12345) % 2147483647) * 48271) % 2147483647 % {n}"
-register("bootstrap_mean", "rep:i mean:d", lambda s, d: multivariate.bootstrap_mean(table(s, d, "supplier"), "s_acctbal", "s_suppkey", 50), f"""
+DRAW = resampling.mixed_sql
+AVG = lambda: F.avg("s_acctbal")
+register("bootstrap_mean", "rep:i value:d", lambda s, d: resampling.bootstrap_values(table(s, d, "supplier"), AVG(), "s_suppkey", 50), f"""
+WITH x AS (SELECT row_number() OVER (ORDER BY s_suppkey)-1 AS i, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM x),
+d AS (SELECT rep, {DRAW('i', 'rep')}%n AS i FROM x, n, range(50) t(rep)) SELECT rep, avg(v) AS value FROM d JOIN x USING (i) GROUP BY 1""")
+register("bootstrap_interval", "estimate:d mean:d std_err:d low:d high:d reps:i", lambda s, d: resampling.bootstrap(table(s, d, "supplier"), AVG(), "s_suppkey", 100), f"""
+WITH x AS (SELECT row_number() OVER (ORDER BY s_suppkey)-1 AS i, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n, avg(v) AS estimate FROM x),
+d AS (SELECT rep, {DRAW('i', 'rep')}%n AS i FROM x, n, range(100) t(rep)), b AS (SELECT rep, avg(v) AS v FROM d JOIN x USING (i) GROUP BY 1)
+SELECT any_value(estimate) AS estimate, avg(v) AS mean, stddev_samp(v) AS std_err, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, count(*) AS reps FROM b, n""")
+register("bootstrap_stratified", "rep:i value:d", lambda s, d: resampling.bootstrap_values(table(s, d, "supplier"), AVG(), "s_suppkey", 20, strategy="stratified", strata="s_nationkey"), f"""
+WITH z AS (SELECT s_nationkey AS g, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY s_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM supplier GROUP BY 1),
+x AS (SELECT first + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)-1 AS i, first, n, s_acctbal AS v FROM supplier JOIN z ON g = s_nationkey),
+d AS (SELECT rep, first + {DRAW('i::BIGINT', 'rep')}%n AS i FROM x, range(20) t(rep)) SELECT rep, avg(v) AS value FROM d JOIN x USING (i) GROUP BY 1""")
+register("bootstrap_block", "rep:i value:d", lambda s, d: resampling.bootstrap_values(table(s, d, "supplier"), AVG(), "s_suppkey", 20, strategy="block", block_size=4), f"""
 WITH x AS (SELECT row_number() OVER (ORDER BY s_suppkey)-1 AS i, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM x),
-d AS (SELECT rep, {LCG.format(i='i', r='rep', n='n')} AS i FROM x, n, range(50) t(rep)) SELECT rep, avg(v) AS mean FROM d JOIN x USING (i) GROUP BY 1""")
-register("kfold", "id:i fold:i", lambda s, d: multivariate.folds(table(s, d, "part"), "p_partkey", 5), f"SELECT p_partkey AS id, ntile(5) OVER (ORDER BY {LCG.format(i='p_partkey', r='1', n='1073741824')}, p_partkey)-1 AS fold FROM part")
+d AS (SELECT rep, {DRAW('i//4', 'rep')}%(n-3) + i%4 AS i FROM x, n, range(20) t(rep)) SELECT rep, avg(v) AS value FROM d JOIN x USING (i) GROUP BY 1""")
+register("kfold", "id:i fold:i", lambda s, d: resampling.folds(table(s, d, "part"), "p_partkey", 5), f"SELECT p_partkey AS id, ntile(5) OVER (ORDER BY {DRAW('p_partkey', '1')}, p_partkey)-1 AS fold FROM part")
 
 
 def _bspline_sql(x: str, knots: list[float], degree: int, i: int) -> str:

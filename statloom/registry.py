@@ -37,3 +37,18 @@ def register(name: str, columns: str, f: Callable[[SparkSession, str], DataFrame
 
 def from_row(spark: SparkSession, names: list[str], rows: list[tuple], kinds: str) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{n} {'string' if k == 's' else 'double'}" for n, k in zip(names, kinds, strict=True)))
+
+
+def t_two_sided_sql(t: str, df: str) -> str:
+    """SQL for the two-sided p of Student's t: Simpson's rule over the density from 0 to |t|."""
+    w = "CASE WHEN k IN (0,2000) THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END"
+    u = f"(abs({t})*k/2000.0::DOUBLE)"
+    return f"(1-2*abs({t})/6000.0::DOUBLE*exp(lgamma((({df})+1)/2.0::DOUBLE)-lgamma(({df})/2.0::DOUBLE))/sqrt(({df})*pi())*(SELECT sum({w}*pow(1+{u}*{u}/({df}),-(({df})+1)/2.0::DOUBLE)) FROM range(2001) r(k)))"
+
+
+def f_sf_sql(f: str, d1: str, d2: str) -> str:
+    """SQL for the upper tail of F: Simpson's rule over the beta density from 0 to d2 / (d2 + d1 f)."""
+    a, b, x = f"(({d2})/2.0::DOUBLE)", f"(({d1})/2.0::DOUBLE)", f"(({d2})/(({d2})+({d1})*({f})))"
+    u = f"({x}*k/2000.0::DOUBLE)"
+    w = "CASE WHEN k=2000 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END"
+    return f"({x}/6000.0::DOUBLE*(SELECT sum({w}*exp(({a}-1)*ln({u})+({b}-1)*ln(1-{u})+lgamma({a}+{b})-lgamma({a})-lgamma({b}))) FROM range(1,2001) r(k)))"
