@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with texts of a few kB a batch stays at a few MB.
-BATCH_ROWS = 1024
+#: Rows and bytes in one Arrow batch at most; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 _shipped: set[str] = set()
 
@@ -19,6 +20,7 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Give executors this package (once for each application) and bound the Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -38,12 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where that setting is absent, as in tests on one machine, a temporary folder is set as the checkpoint folder.
+    Where that setting is absent and all runs on one machine, as in tests, a temporary folder is set as the checkpoint
+    folder; on a cluster without it, an error says so.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
         if not known:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp())
             known = spark.sparkContext.getCheckpointDir()
         base = known
@@ -71,6 +76,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, however letters' case is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -14,7 +14,7 @@ ODD = re.compile(r"[^\S \n]|[ \n]{2}")
 #: Before a lone space or newline.
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces kept by a worker before it starts anew, and the longest that is kept.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 400_000
 CACHE_LENGTH = 60
 
 

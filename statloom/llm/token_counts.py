@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import CACHE_LENGTH, bounded, cut, cut_special
+from .tables import worker_table
 
 #: Bytes of pieces given to the library at once.
 GROUP_BYTES = 1_000_000
@@ -35,7 +36,7 @@ def _by_bytes(pieces: list[str], most: int = GROUP_BYTES) -> Iterator[list[str]]
     group, size = [], 0
     for p in sorted(pieces, key=len):
         group.append(p)
-        size += len(p)
+        size += len(p) if p.isascii() else len(p.encode())
         if size >= most:
             yield group
             group, size = [], 0
@@ -43,13 +44,10 @@ def _by_bytes(pieces: list[str], most: int = GROUP_BYTES) -> Iterator[list[str]]
         yield group
 
 
-_known: dict[str, dict[str, int]] = {}
-
-
 def count_batch(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, with special strings as the library's default has them."""
     tokenizer, special = _tokenizer(path)
-    known = bounded(_known.setdefault(path, {}))
+    known = bounded(worker_table("token_counts", path))
     if len(special) == 1:
         parts = [cut_special(t, special[0]) for t in texts]
     else:
