@@ -1,194 +1,341 @@
 """Language-model scores: base counts, and a hashed maximum-entropy model with class-factored softmax.
 
-Tokens are words (A-Z in lower case, between ASCII white space) and an end after each text.
-
-Base. Words are counted exactly over the training texts, partially in each task before they are shuffled. The most frequent
-`common` words and their counts go to all tasks (at most that many rows); a text's other words are joined with the table of
-counts by shuffling, where no word is frequent.
-
-Model. log P(token | context) = log P(class | context) + log P(token | class). A word's class is a rule of its letters (its
-ending, and whether it has signs), hashed to one of 31; the end has its own. P(class | context) is a softmax over the
-classes of summed weights of hashed features: the word before, the one before that (skip), the classes of the last three
-words, the last two classes together, and the last with the third (skip). P(token | class) is (c + 1) / (c of the class's
-tokens + its distinct words + 1).
-
-Training. Each task runs through its training texts with Adagrad steps on blocks of positions, from the common weights; the
-tasks' weights are averaged, weighted by positions, in a tree of partial sums. A task is a partition of the table, so this
-takes as many tasks' weights as there are partitions, each of the same size. All positions of all training texts are used.
+Tokens are words (A-Z in lower case, between ASCII white space) and an end after each text. A word is its 64-bit hash, whose
+low 5 bits are its class: a rule of its last two bytes, one of 31; the end has a class of its own.
+
+Base. Words are counted over all training texts, partially in each task before they are shuffled. The most frequent `common`
+words and their counts go to all tasks (at most that many rows); a text's other words are joined with the table of counts by
+shuffling, where no word is frequent.
+
+Model. P(token | context) = P(class | context) * P(member | class, context), and for a word that is no member of its own
+* (c + 1) / (words of its class that aren't members + their distinct words + 1). The members of a class are its 31 most
+frequent words; all its other words are one more. Both factors are softmaxes of summed weights of features of the context.
+Class: the classes of the last two words, those of the last and the third last (skip), and, hashed, the word before, the one
+before that (skip), and both. Member: the class with the class of the word before, and, hashed, the class with the word
+before, with the one before that (skip), and with both. The tables have a row for every 64 distinct training words, from
+2^12 to 2^16 rows.
+
+Training. Texts are dealt into `STEPS` by a hash of the text. In each step all tasks compute, at common weights, the gradient
+over all positions of the step's texts, in whole numbers, which are summed by slices of the tables over all tasks; then the
+driver moves the weights along the sum, scaled by how often each feature was met. Sums of whole numbers don't depend on
+their order, so weights and scores are a function of the table, whatever its partitions. Every position of every training
+text is used once. A task's sums have a fixed size, and they are added up in a tree.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
-from .pieces import CACHE_SIZE
+from .tables import Table, claim
+from .words import mix, word_hashes
+
+CLASSES, END, MEMBERS = 32, 31, 32
+#: Rows of the two hashed tables: bounds, and distinct training words for each.
+ROWS, WORDS_A_ROW = (1 << 12, 1 << 16), 64
+#: Parts of 16 of the texts that each step takes; positions that are worked on at once.
+STEPS, BLOCK = (1, 2, 4, 9), 8192
+#: Gradients are whole multiples of 1 / UNIT. Rate and damping (positions) of a step.
+UNIT, RATE, DAMP = 1 << 12, 2.0, 4.0
+#: Words whose counts go to all tasks, and distinct words that a task holds before it hands their counts on.
+COMMON, HELD = 200_000, 1 << 20
+#: Slices of a table that are summed by themselves, and tasks whose sums one task adds up.
+SLICES, FAN = 16, 256
+NONE = CLASSES  # the class before a text's first word
+PAIRS = (CLASSES + 1) ** 2
+#: Features of a position in each factor.
+FEATURES = 5, 4
+
+_KIND = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(END)).astype(np.uint64)
+
+
+def packed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words in order: hash and class in one int64; words of each text."""
+    h, tails, counts = word_hashes(texts)
+    return ((h & ~np.uint64(31)) | _KIND[tails]).view(np.int64), counts
+
+
+@dataclass
+class Positions:
+    """All tokens of some texts, ends included."""
+
+    words: np.ndarray  # int64; the ends are END alone
+    classes: np.ndarray
+    sizes: np.ndarray  # tokens of each text
+    class_rows: np.ndarray  # (feature, token)
+    member_rows: np.ndarray
+
+
+def positions(texts: pa.Array, rows: int) -> Positions:
+    packed, counts = packed_words(texts)
+    sizes = counts + 1
+    total, stops = int(sizes.sum()), np.cumsum(sizes)
+    words = np.full(total, END, np.int64)
+    live = np.ones(total, bool)
+    live[stops - 1] = False
+    words[live] = packed
+    classes = (words & 31).astype(np.int32)
+    at = np.arange(total, dtype=np.int32) - np.repeat(stops - sizes, sizes).astype(np.int32)
 
-CLASSES, END = 32, 31
-#: Rows of the hashed weight table, features of a position, positions of a gradient step and of a scoring batch.
-ROWS, FEATURES, STEP, BATCH = 1 << 14, 8, 2048, 8192
-RATE, PASSES = 0.15, 1
-#: Words whose counts go to all tasks, and distinct words that a task counts before it hands them on.
-COMMON, HELD = 200_000, 400_000
-#: Partial weight sums that one task adds up.
-FAN = 32
+    def back(x: np.ndarray, k: int, none: int) -> np.ndarray:
+        out = np.full(total, none, x.dtype)
+        out[k:] = x[:-k] if k < total else x[:0]
+        out[at < k] = none
+        return out
 
+    c1, c2, c3 = (back(classes, k, NONE) for k in (1, 2, 3))
+    w1, w2 = (back(words.view(np.uint64), k, 0) for k in (1, 2))
+    w2 = mix(w2 + np.uint64(1))
+    both = mix(w1 ^ (w2 << np.uint64(1)))
 
-class _Words(dict):
-    """word -> class in the low 5 bits, the word's row hash above them."""
+    def hashed(x: np.ndarray, first: int) -> np.ndarray:
+        return first + ((x >> np.uint64(20)) % np.uint64(rows - first)).astype(np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        tail = word.decode("utf-8", "replace")[-2:]
-        plain = word.isalpha() or (word[0] > 127 and word[-1] > 127)
-        kind = xxhash.xxh3_64_intdigest(tail.encode() + (b"" if plain else b"|")) % END
-        got = (xxhash.xxh3_64_intdigest(word) >> 8 << 5 & 0x7FFFFFFFFFFFFFFF) | kind
-        if len(self) < CACHE_SIZE and len(word) <= 60:
-            self[word] = got
-        return got
+    near, far = c1 * (CLASSES + 1) + c2, c1 * (CLASSES + 1) + c3
+    first = 2 * PAIRS
+    class_rows = np.stack([near, PAIRS + far, hashed(w1, first), hashed(w2, first), hashed(both, first)])
+    of = mix(classes.astype(np.uint64) + np.uint64(1000))
+    member_rows = np.stack([classes * (CLASSES + 1) + c1, *(hashed(mix(of ^ x), PAIRS) for x in (w1, w2, both))])
+    return Positions(words, classes, sizes, class_rows, member_rows)
 
 
-_words = _Words()
+@dataclass
+class Model:
+    """Weights of both factors, and by word the member's slot, from 1 on."""
 
+    class_weights: np.ndarray
+    member_weights: np.ndarray
+    members: Table
 
-def split(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+    @property
+    def rows(self) -> int:
+        return len(self.class_weights)
 
+    def slot(self, words: np.ndarray) -> np.ndarray:
+        """The member that each word is of its class; 0 for all others."""
+        return self.members.get(words, 0)
 
-def positions(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens, ends included: classes, feature rows (position, feature), and how many tokens each text has."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    total = int(sizes.sum())
-    packed = np.full(total, END, np.int64)
-    live = np.ones(total, bool)
-    stops = np.cumsum(sizes)
-    live[stops - 1] = False
-    packed[live] = np.fromiter((_words[w] for t in texts for w in t), np.int64, total - len(texts))
-    classes = (packed & 31).astype(np.int32)
-    at = np.arange(total) - np.repeat(stops - sizes, sizes)
 
-    def back(x: np.ndarray, k: int, none: int) -> np.ndarray:
-        out = np.full(total, none, x.dtype)
-        out[k:] = x[:-k] if k < total else x[:0]
-        out[at < k] = none
-        return out
+def exponentials(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of summed weights of each position's feature rows, by (position, outcome), and each position's total.
 
-    c1, c2, c3 = (back(classes, k, CLASSES) for k in (1, 2, 3))
-    w1, w2 = (back(packed >> 5, k, 0) for k in (1, 2))
-    n = CLASSES + 1
-    rows = np.empty((total, FEATURES), np.int32)
-    rows[:, 0] = 0
-    rows[:, 1] = 1 + c1
-    rows[:, 2] = 1 + n + c2
-    rows[:, 3] = 1 + 2 * n + c3
-    rows[:, 4] = 1 + 3 * n + c1 * n + c2
-    rows[:, 5] = 1 + 3 * n + n * n + c1 * n + c3
-    first = 1 + 3 * n + 2 * n * n
-    left = np.uint64(ROWS - first)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    rows[:, 6] = first + ((w1.astype(np.uint64) * mix) >> np.uint64(20)) % left
-    rows[:, 7] = first + (((w2.astype(np.uint64) + np.uint64(77)) * mix) >> np.uint64(20)) % left
-    return classes, rows, sizes
-
-
-def log_class(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class) of each position."""
-    z = weights[rows[:, 0]]
-    for f in range(1, FEATURES):
-        z = z + weights[rows[:, f]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def descend(weights: np.ndarray, squares: np.ndarray, classes: np.ndarray, rows: np.ndarray) -> None:
-    """One Adagrad step on a block of positions, in place. The block's gradient is gathered row by row."""
-    g = np.exp(log_class(weights, rows))
-    g[np.arange(len(classes)), classes] -= 1
-    flat = rows.T.ravel().astype(np.uint16)  # which a stable sort orders by radix
-    order = np.argsort(flat, kind="stable")
-    sorted_rows = flat[order].astype(np.int32)
-    starts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    sums = np.add.reduceat(g[order % len(classes)], starts, 0)
-    touched = sorted_rows[starts]
-    squares[touched] += sums * sums
-    weights[touched] -= RATE * sums / np.sqrt(squares[touched] + 1e-6)
+    Weights move by at most RATE in each step, so nothing overflows.
+    """
+    z = np.take(weights, rows[0], 0)
+    part = np.empty_like(z)
+    for r in rows[1:]:
+        z += np.take(weights, r, 0, out=part, mode="clip")
+    np.exp(z, out=z)
+    return z, z.sum(1)
+
+
+def add_gradient(weights: np.ndarray, rows: np.ndarray, outcome: np.ndarray, sums: np.ndarray, met: np.ndarray) -> None:
+    """Add a block's gradient (probability less outcome, in units) by feature row to sums, and how often each was met to met."""
+    n = len(outcome)
+    p, total = exponentials(weights, rows)
+    p *= (np.float32(UNIT) / total)[:, None]
+    g = np.rint(p, out=p).astype(np.int32)
+    g[np.arange(n), outcome] -= UNIT
+    for r in rows:
+        r = r.astype(np.uint16)  # which a stable sort orders by radix
+        order = np.argsort(r, kind="stable")
+        r = r[order]
+        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        count = np.diff(starts, append=n)
+        met[r[starts]] += count
+        once = count == 1
+        at = starts[once]
+        sums[r[at]] += g[order[at]]
+        if len(at) < len(starts):
+            count, at = count[~once], starts[~once]
+            of = order[np.repeat(~once, np.diff(starts, append=n))]
+            sums[r[at]] += np.add.reduceat(g[of], np.cumsum(count) - count, 0)
+
+
+class Sums:
+    """A task's gradients of both factors, and how often each feature was met."""
+
+    def __init__(self, rows: int):
+        self.whole = [np.zeros((rows, x), np.int64) for x in (CLASSES, MEMBERS)]
+        self.part = [np.zeros((rows, x), np.int32) for x in (CLASSES, MEMBERS)]
+        self.met = [np.zeros(rows, np.int64) for _ in range(2)]
+        self.positions = 0
+
+    def add(self, factor: int, weights: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> None:
+        self.positions += len(outcome)
+        if self.positions * UNIT >= 1 << 31:
+            self.close()
+            self.positions = len(outcome)
+        add_gradient(weights, rows, outcome, self.part[factor], self.met[factor])
+
+    def close(self) -> None:
+        for w, p in zip(self.whole, self.part, strict=True):
+            w += p
+            p[:] = 0
+        self.positions = 0
+
+
+def gradients(texts: pa.Array, model: Model, sums: Sums) -> None:
+    """Add both factors' gradients over all positions of the texts."""
+    p = positions(texts, model.rows)
+    slots = model.slot(p.words)
+    inner = np.flatnonzero(p.classes != END)
+    for i in range(0, len(p.words), BLOCK):
+        sums.add(0, model.class_weights, p.class_rows[:, i : i + BLOCK], p.classes[i : i + BLOCK])
+    for i in range(0, len(inner), BLOCK):
+        at = inner[i : i + BLOCK]
+        sums.add(1, model.member_weights, p.member_rows[:, at], slots[at])
+
+
+def moved(weights: np.ndarray, sums: np.ndarray, met: np.ndarray, prior: np.ndarray, features: int) -> np.ndarray:
+    """Weights after a step: the gradient over how much a feature's outcomes weigh (at least their share over all texts)."""
+    g = sums / UNIT
+    n = met[:, None].astype(np.float64)
+    scale = features * np.maximum(n * np.maximum(prior, 1e-4), np.abs(g)) + DAMP
+    return (weights - RATE * g / scale).astype(np.float32)
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out() -> pa.RecordBatch:
-        words = list(held.keys())
-        b = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([_words[w] & 31 for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "class", "n"])
-        held.clear()
-        return b
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
 
     for b in batches:
-        for t in b.column(0).to_pylist():
-            held.update(split(t))
-        if len(held) > HELD:
+        new, k = np.unique(packed_words(b.column(0))[0], return_counts=True)
+        both, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, k]), len(both)).astype(np.int64)
+        words = both
+        if len(words) > HELD:
             yield out()
+            words, n = words[:0], n[:0]
     yield out()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, class int, c long) of the words of rows (text); exact."""
-    return texts.mapInArrow(_partial_counts, "word binary, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c"))
+    """(word long, c long) of the words of rows (text); exact but for words that share a hash."""
+    return texts.mapInArrow(_partial_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0.0
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows of SUMS that are of one group, factor and slice; a task gets few of these, each of a fixed size."""
+    total: dict[tuple[int, int, int], list[np.ndarray]] = {}
     for b in batches:
-        for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(w, np.float32)
-            total = x.copy() if total is None else total + x
-            n += k
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.float64())], ["weights", "n"])
-
-
-def train(texts: DataFrame) -> np.ndarray:
-    """The class weights (ROWS, CLASSES) learnt from rows (text)."""
-    spark = texts.sparkSession
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    parts = max(1, texts.rdd.getNumPartitions())
-    for _ in range(PASSES):
-        shared = spark.sparkContext.broadcast(weights)  # of fixed size
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w = shared.value.copy()
-            squares, n = np.zeros_like(w), 0
-            rest: tuple[np.ndarray, np.ndarray] | None = None
-            for b in batches:
-                classes, rows, _ = positions([split(t) for t in b.column(0).to_pylist()])
-                if rest is not None:
-                    classes, rows = np.concatenate([rest[0], classes]), np.concatenate([rest[1], rows])
-                whole = len(classes) // STEP * STEP
-                for i in range(0, whole, STEP):
-                    descend(w, squares, classes[i : i + STEP], rows[i : i + STEP])
-                rest = classes[whole:], rows[whole:]
-                n += whole
-            if rest is not None and len(rest[0]):
-                descend(w, squares, *rest)
-                n += len(rest[0])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([(w * n).tobytes()], pa.binary()), pa.array([float(n)], pa.float64())], ["weights", "n"])
-
-        sums, left = texts.mapInArrow(run, "weights binary, n double"), parts
-        while left > 1:
-            left = -(-left // FAN)
-            sums = sums.repartition(left).mapInArrow(_sum_weights, "weights binary, n double")
-        got = sums.collect()  # one row
-        if got:
-            weights = (sum(np.frombuffer(r.weights, np.float32) for r in got) / sum(r.n for r in got)).reshape(ROWS, CLASSES)
-    return weights
+        for group, factor, k, sums, met in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            g, n = _unpacked(sums), np.frombuffer(met, "<i8")
+            if (got := total.get((group, factor, k))) is None:
+                total[group, factor, k] = [g, n.copy()]
+            else:
+                got[0] += g
+                got[1] += n
+    if total:
+        yield _packed_slices([(*key, *x) for key, x in total.items()])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[1:], "<i4" if raw[:1] == b"4" else "<i8").astype(np.int64)
+
+
+def _packed_slices(slices: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (group, factor, slice, sums, met); sums in 4 bytes where they fit."""
+    group, factor, k, sums, met = zip(*slices, strict=True)
+    raw = [b"4" + x.astype("<i4").tobytes() if np.abs(x).max(initial=0) < 1 << 31 else b"8" + x.astype("<i8").tobytes() for x in sums]
+    columns = (group, factor, k, raw, [x.astype("<i8").tobytes() for x in met])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["group", "factor", "slice", "sums", "met"])
+
+
+SUMS = "group int, factor int, slice int, sums binary, met binary"
+
+
+def gradient(texts: DataFrame, model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Both factors' gradients over rows (text), and how often each feature was met, summed over all tasks."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("maxent")
+        m = shared.value
+        mine = Sums(m.rows)
+        for b in batches:
+            gradients(b.column(0), m, mine)
+        mine.close()
+        sums, met = mine.whole, mine.met
+        if not met[0].any():
+            return
+        group, step = TaskContext.get().partitionId() // FAN, m.rows // SLICES
+        for f in range(2):
+            yield _packed_slices([(group, f, k, sums[f][k * step : (k + 1) * step].ravel(), met[f][k * step : (k + 1) * step]) for k in range(SLICES)])
+
+    got, groups = texts.mapInArrow(run, SUMS), -(-max(1, texts.rdd.getNumPartitions()) // FAN)
+    while True:
+        got = got.repartition(SLICES * groups, "group", "slice").mapInArrow(_sum_slices, SUMS)
+        if groups == 1:
+            break
+        groups = -(-groups // FAN)
+        got = got.withColumn("group", F.floor(F.col("group") / FAN).cast("int"))
+    sums, met = [np.zeros((SLICES, model.rows // SLICES, x), np.int64) for x in (CLASSES, MEMBERS)], [np.zeros((SLICES, model.rows // SLICES), np.int64) for _ in range(2)]
+    for r in got.collect():  # two tables of bounded size
+        sums[r.factor][r.slice] += _unpacked(r.sums).reshape(sums[r.factor][r.slice].shape)
+        met[r.factor][r.slice] += np.frombuffer(r.met, "<i8")
+    return [s.reshape(model.rows, -1) for s in sums], [m.ravel() for m in met]
+
+
+def train(texts: DataFrame, counts: DataFrame, ends: int) -> tuple[Model, dict[int, tuple[int, int]], dict[int, int]]:
+    """The model learnt from rows (text), with their word counts (word, c) and number; by class how many words and distinct
+    words are no members; and the members' counts."""
+    by_class = {int(r["class"]): (r.n, r.v) for r in counts.groupBy((F.col("word").bitwiseAND(31)).alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    top = Window.partitionBy(F.col("word").bitwiseAND(31)).orderBy(F.desc("c"), "word")
+    best = sorted((r.word, r.slot, r.c) for r in counts.withColumn("slot", F.row_number().over(top)).where(F.col("slot") < MEMBERS).collect())
+    rest = dict(by_class)
+    shares = np.zeros((CLASSES, MEMBERS))
+    for word, slot, c in best:
+        k = word & 31
+        shares[k, slot] = c
+        rest[k] = rest[k][0] - c, rest[k][1] - 1
+    for k, (n, _) in rest.items():
+        shares[k, 0] = n
+    shares[END, 0] = ends
+    of_class = shares.sum(1) + 1
+    of_class /= of_class.sum()
+    shares = (shares + 0.01) / (shares + 0.01).sum(1, keepdims=True)
+    distinct = sum(v for _, v in by_class.values())
+    rows = int(np.clip(1 << max(0, distinct // WORDS_A_ROW).bit_length(), *ROWS))
+    model = Model(np.zeros((rows, CLASSES), np.float32), np.zeros((rows, MEMBERS), np.float32), Table.of(np.array([w for w, _, _ in best], np.int64), np.array([s for _, s, _ in best], np.int32)))
+    # where training starts: the outcomes' shares, in the rows of the one feature that each position has without hashing
+    model.class_weights[:PAIRS] = np.log(of_class)
+    model.member_weights[: CLASSES * (CLASSES + 1)] = np.log(shares).repeat(CLASSES + 1, 0)
+    if ends:
+        spark = texts.sparkSession
+        priors, parts = (of_class, shares.mean(0)), max(1, texts.rdd.getNumPartitions())
+        dealt = texts.withColumn("at", F.pmod(F.xxhash64("text"), F.lit(sum(STEPS))))
+        done = 0
+        for share in STEPS:
+            some = dealt.where((F.col("at") >= done) & (F.col("at") < done + share)).select("text")
+            done += share
+            # as much text to a task as in other passes, so that its sums are as small beside it
+            some = some.coalesce(min(parts, max(spark.sparkContext.defaultParallelism, -(-parts * share // sum(STEPS)))))
+            sums, met = gradient(some, model)
+            model = Model(moved(model.class_weights, sums[0], met[0], priors[0], FEATURES[0]), moved(model.member_weights, sums[1], met[1], priors[1], FEATURES[1]), model.members)
+    return model, rest, {w: c for w, _, c in best}
+
+
+def log10_model(p: Positions, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of P(class) * P(member | class) of each token, its member slot)."""
+    slots = model.slot(p.words)
+    out = np.zeros(len(p.words))
+    inner = np.flatnonzero(p.classes != END)
+    for weights, rows, outcome, of in ((model.class_weights, p.class_rows, p.classes, None), (model.member_weights, p.member_rows, slots, inner)):
+        for i in range(0, len(out) if of is None else len(of), BLOCK):
+            at = slice(i, i + BLOCK) if of is None else of[i : i + BLOCK]
+            e, total = exponentials(weights, rows[:, at])
+            out[at] += np.log10(e[np.arange(len(e)), outcome[at]] / total)
+    return out, slots
 
 
 def scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,52 +343,49 @@ def scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: st
 
     Null and empty texts hold the end alone. Repeated rows give repeated results and count each time in training; an empty
     table gives an empty one. With no training rows, N and V are 0 and every token is unknown. Ids may be null or repeat.
+    Other columns of df are not read. Results don't depend on the table's partitions.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     texts = rows.where("train").select("text")
     counts = saved(word_counts(texts))
     ends = texts.count()
-    of_class = {r["class"]: (r.n, r.v) for r in counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    if ends:
-        of_class[END] = (ends, 1)
-    n, v = (sum(x[i] for x in of_class.values()) for i in (0, 1))
-    leaf = np.log10([float(sum(of_class.get(k, (0, 0))) + 1) for k in range(CLASSES)])
-    common = {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).select("word", "c").collect()}
-    shared = spark.sparkContext.broadcast((train(texts), common))
+    model, rest, members = train(texts, counts, ends)
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n, v = n + ends, v + (ends > 0)
+    leaf = np.log10([float(sum(rest.get(k, (0, 0))) + 1) for k in range(CLASSES)])
+    leaf[END] = 0.0
+    common = dict(counts.orderBy(F.desc("c"), "word").limit(COMMON).select("word", "c").collect())
+    common |= members
+    known = Table.of(np.fromiter(common, np.int64, len(common)), np.log10(np.fromiter(common.values(), np.float64, len(common)) + 1), np.float64)
+    shared = spark.sparkContext.broadcast((model, leaf, known))  # at most COMMON words and two tables of bounded size
     log_ends = float(np.log10(ends + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, common = shared.value
-        logs = {w: float(np.log10(c + 1)) for w, c in common.items()}
+        claim("maxent")
+        model, leaf, known = shared.value
         for b in batches:
-            split_texts = [split(t) for t in b.column(1).to_pylist()]
-            classes, feature_rows, sizes = positions(split_texts)
-            each = np.empty(len(classes))
-            for i in range(0, len(classes), BATCH):
-                z = log_class(weights, feature_rows[i : i + BATCH])
-                each[i : i + BATCH] = z[np.arange(len(z)), classes[i : i + BATCH]]
-            each = each / np.log(10) - leaf[classes]
-            stops = np.cumsum(sizes)
-            model = np.add.reduceat(each, stops - sizes) if len(sizes) else each
-            known, found, rare = [], [], []
-            for words in split_texts:
-                got = [logs.get(w) for w in words]
-                rest = [w for w, x in zip(words, got, strict=True) if x is None]
-                known.append(len(words) - len(rest) + (ends > 0))
-                found.append(sum(x for x in got if x is not None) + log_ends)
-                rare.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes), pa.array(known, pa.int64()), pa.array(found, pa.float64()), pa.array(model), pa.array(rare, pa.list_(pa.binary()))], ["id", "n_tokens", "known", "found", "model", "rare"]
-            )
+            p = positions(b.column(1), model.rows)
+            each, slots = log10_model(p, model)
+            end = p.classes == END
+            other = (slots == 0) & ~end
+            found = known.get(p.words, -1)
+            rare = (found < 0) & ~end
+            met = ~rare & (~end | (ends > 0))
+            found = np.where(end, log_ends, np.maximum(found, 0.0))
+            each[other] += found[other] - leaf[p.classes[other]]
+            stops = np.cumsum(p.sizes)
+            sums = [np.add.reduceat(x, stops - p.sizes) if len(stops) else x for x in (met.astype(np.int64), found, each)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)[stops - 1]]) if len(stops) else np.zeros(1), pa.int32()), pa.array(p.words[rare]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sizes), *map(pa.array, sums), lists], ["id", "n_tokens", "known", "found", "model", "rare"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    plain = rows.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, known long, found double, model double, rare array<binary>")
+    plain = rows.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, known long, found double, model double, rare array<long>")
     # a row's place in the table names it, as ids may repeat: the sketch is written before it is used twice
     plain = saved(plain.withColumn("row", F.monotonically_increasing_id()))
     asked = plain.select("row", F.explode("rare").alias("word"))
-    met = asked.join(counts.select("word", "c").hint("merge"), "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("f"))
+    met = asked.join(counts.hint("merge"), "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("f"))
     out = plain.drop("rare").join(met, "row", "left")
-    found = F.col("found") + F.coalesce("f", F.lit(0.0))
-    base = found - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + found).alias("score"))
+    more = F.coalesce("f", F.lit(0.0))
+    base = F.col("found") + more - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + more).alias("score"))
