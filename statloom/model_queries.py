@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from . import fit_sql
 from .functions import special
-from .operators import glm, linear, models, multivariate, panel, resampling, survival, testing
+from .operators import glm, linear, models, multivariate, resampling, survival, testing
 from .registry import from_row, register, t_two_sided_sql
 from .sources import p_values, scores, spells, table
-from .sources import panel as panel_view
 
 # --- distributions -----------------------------------------------------------------------------------------------------
 
@@ -161,17 +160,6 @@ register("spline_gcv", "term:s value:d", _spline, digits=3)
 
 # --- panels, survival, covariances, mixtures, resampling ---------------------------------------------------------------
 
-register("panel_random_effects", "beta:d sigma2_e:d sigma2_a:d", lambda s, d: panel.random_effects(panel_view(s, d)), """
-WITH g AS (SELECT entity, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM panel GROUP BY entity), j AS (SELECT p.entity, n, x, y, mx, my FROM panel p JOIN g USING (entity)),
-bb AS (SELECT sum(mx*my)/sum(mx*mx) AS b, count(*) AS g, count(*)/sum(1.0/n) AS h, sum(n) AS total FROM g), wb AS (SELECT sum((x-mx)*(y-my))/sum((x-mx)*(x-mx)) AS b FROM j),
-e AS (SELECT sum(((y-my)-wb.b*(x-mx))*((y-my)-wb.b*(x-mx)))/(any_value(total)-any_value(bb.g)) AS se FROM j, wb, bb),
-a AS (SELECT greatest(0.0, (sum((my-b*mx)*(my-b*mx))/(any_value(bb.g)-1)-any_value(se))/any_value(h)) AS sa FROM g, bb, e),
-q AS (SELECT se, sa, x-(1-sqrt(se/(se+n*sa)))*mx AS x, y-(1-sqrt(se/(se+n*sa)))*my AS y FROM j, e, a)
-SELECT sum(x*y)/sum(x*x) AS beta, any_value(se) AS sigma2_e, any_value(sa) AS sigma2_a FROM q""", 5)
-register("panel_two_way_cluster", "beta:d variance:d", lambda s, d: panel.two_way_clustered(panel_view(s, d)), """
-WITH f AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS m, regr_sxx(y,x) AS sxx FROM panel), u AS (SELECT entity, period, (x-m)*(y-a-b*x) AS u FROM panel, f),
-v AS (SELECT sum(u)*sum(u) AS v FROM u GROUP BY entity UNION ALL SELECT sum(u)*sum(u) FROM u GROUP BY period UNION ALL SELECT -sum(u)*sum(u) FROM u GROUP BY entity, period)
-SELECT any_value(b) AS beta, sum(v)/any_value(sxx*sxx) AS variance FROM v, f""", 5)
 BETA = 0.1
 RISK = f"a AS (SELECT time, sum(event) AS d, sum(event*x) AS dx, sum(exp({BETA}*x)) AS w0, sum(exp({BETA}*x)*x) AS w1, sum(event*exp({BETA}*x)) AS e0, sum(event*exp({BETA}*x)*x) AS e1, sum(exp({BETA}*x)*x*x) AS w2, sum(event*exp({BETA}*x)*x*x) AS e2 FROM spells GROUP BY 1), r AS (SELECT time, d, dx, e0, e1, e2, sum(w0) OVER w AS s0, sum(w1) OVER w AS s1, sum(w2) OVER w AS s2 FROM a WINDOW w AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING))"
 register("cox_efron", "loglik:d gradient:d information:d", lambda s, d: survival.cox_efron(spells(s, d), BETA), f"""

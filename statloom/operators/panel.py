@@ -1,4 +1,4 @@
-"""Panel estimators of y on one regressor: (entity, period, y, x). Each is one or two aggregates."""
+"""A series' mean with errors for correlation over time."""
 
 from __future__ import annotations
 
@@ -6,45 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def within(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(beta, n): fixed effects for the keys. Two keys: both-way demeaning, exact for balanced panels."""
-    # the grand means are one row; a window over all rows would bring them to one task
-    out = df.join(F.broadcast(df.agg(F.avg("y").alias("__all_y"), F.avg("x").alias("__all_x")))) if len(keys) == 2 else df
-    for v in ("y", "x"):
-        d = F.col(v)
-        for k in keys:
-            d = d - F.avg(v).over(Window.partitionBy(k))
-        if len(keys) == 2:
-            d = d + F.col(f"__all_{v}")
-        out = out.withColumn(f"{v}_", d)
-    return out.agg((F.sum(F.col("x_") * F.col("y_")) / F.sum(F.col("x_") * F.col("x_"))).alias("beta"), F.count("*").alias("n"))
-
-
-def between(df: DataFrame) -> DataFrame:
-    means = df.groupBy("entity").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
-    return means.agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("intercept"))
-
-
-def first_difference(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("entity").orderBy("period")
-    d = df.select((F.col("y") - F.lag("y").over(w)).alias("y"), (F.col("x") - F.lag("x").over(w)).alias("x")).na.drop()
-    return d.agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"), F.count("*").alias("n"))
-
-
-def pooled(df: DataFrame) -> DataFrame:
-    """(beta, intercept, se, se_cluster): pooled least squares with plain and entity-clustered standard errors of the slope."""
-    fit = df.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.avg("x").alias("mx"), F.regr_sxx("y", "x").alias("sxx"), F.count("*").alias("n"))
-    s = df.crossJoin(F.broadcast(fit)).withColumn("e", F.col("y") - F.col("a") - F.col("b") * F.col("x")).withColumn("u", (F.col("x") - F.col("mx")) * F.col("e"))
-    by = s.groupBy("entity", "b", "a", "sxx", "n").agg(F.sum("u").alias("u"), F.sum(F.col("e") * F.col("e")).alias("ee"))
-    t = by.groupBy("b", "a", "sxx", "n").agg(F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum("ee").alias("ee"))
-    return t.select(F.col("b").alias("beta"), F.col("a").alias("intercept"), F.sqrt(F.col("ee") / (F.col("n") - 2) / F.col("sxx")).alias("se"), (F.sqrt("uu") / F.col("sxx")).alias("se_cluster"))
-
-
-def fama_macbeth(df: DataFrame) -> DataFrame:
-    each = df.groupBy("period").agg(F.regr_slope("y", "x").alias("b"))
-    return each.agg(F.avg("b").alias("beta"), (F.stddev_samp("b") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("periods"))
-
-
 def newey_west_mean(series: DataFrame, y: str, order: str, lags: int) -> DataFrame:
     """(mean, se): a series' mean with Bartlett-weighted autocovariances."""
     m = series.agg(F.avg(y).alias("m"))
@@ -55,30 +16,3 @@ def newey_west_mean(series: DataFrame, y: str, order: str, lags: int) -> DataFra
     for h in range(1, lags + 1):
         v = v + 2 * (1 - h / (lags + 1)) * F.sum(F.col("e") * F.col(f"e{h}"))
     return e.groupBy("m").agg((F.sqrt(v) / F.count("*")).alias("se")).select(F.col("m").alias("mean"), "se")
-
-
-def random_effects(df: DataFrame) -> DataFrame:
-    """(beta, sigma2_e, sigma2_a): Swamy-Arora's estimator without an intercept, from one row of sums for each entity."""
-    g = df.groupBy("entity").agg(
-        F.count("*").cast("double").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    n, mx, my, xx, xy, yy = (F.col(c) for c in ("n", "mx", "my", "xx", "xy", "yy"))
-    t = g.agg(
-        F.count("*").alias("g"), F.sum("n").alias("total"), (F.count("*") / F.sum(1 / n)).alias("harmonic"), F.sum(mx * mx).alias("bxx"), F.sum(mx * my).alias("bxy"), F.sum(my * my).alias("byy"),
-        F.sum(xx - n * mx * mx).alias("wxx"), F.sum(xy - n * mx * my).alias("wxy"), F.sum(yy - n * my * my).alias("wyy")).first()
-    sigma2_e = (t.wyy - t.wxy**2 / t.wxx) / (t.total - 1 - (t.g - 1))
-    sigma2_a = max(0.0, ((t.byy - t.bxy**2 / t.bxx) / max(t.g - 1, 1) - sigma2_e) / t.harmonic)
-    theta = 1 - F.sqrt(F.lit(sigma2_e) / (sigma2_e + n * sigma2_a))
-    keep = n * (2 * theta - theta * theta)
-    return g.agg((F.sum(xy - keep * mx * my) / F.sum(xx - keep * mx * mx)).alias("beta"), F.lit(sigma2_e).alias("sigma2_e"), F.lit(sigma2_a).alias("sigma2_a"))
-
-
-def two_way_clustered(df: DataFrame) -> DataFrame:
-    """(beta, variance): pooled slope, its variance clustered by entity and by period, less that by both."""
-    f = df.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.avg("x").alias("m"), F.regr_sxx("y", "x").alias("sxx")).first()
-    u = df.select("entity", "period", ((F.col("x") - f.m) * (F.col("y") - f.a - f.b * F.col("x"))).alias("u"))
-    both = u.groupBy("entity", "period").agg(F.sum("u").alias("u"))
-    # coarser sums from the finer ones
-    parts = [both.groupBy(k).agg(F.sum("u").alias("u")).agg(F.sum(F.col("u") * F.col("u")).alias("v")) for k in ("entity", "period")]
-    parts.append(both.agg((-F.sum(F.col("u") * F.col("u"))).alias("v")))
-    total = parts[0].union(parts[1]).union(parts[2])
-    return total.agg(F.lit(f.b).alias("beta"), (F.sum("v") / f.sxx**2).alias("variance"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +36,40 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None)
 
 
 def _gram_blocks(named: DataFrame, k: int) -> np.ndarray:
+    return block_sums(named, lambda x: ((x[:k] * x[k]) @ x[:k].T).ravel(), k * k).reshape(k, k)
+
+
+def block_sums(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over blocks of rows of f(block), a vector of a set size. A block has a row for each of the table's columns,
+    which are doubles without nulls. Each task adds up its blocks; the tasks' vectors are added in a tree."""
+
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
+        total = np.zeros(size)
         for b in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
-            total += (x[:k] * x[k]) @ x[:k].T
+            if b.num_rows:
+                total += f(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
         yield packed(total)
 
     def packed(total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k)
+        total = np.zeros(size)
         for b in batches:
             for g in b.column(0):
                 total += np.frombuffer(g.as_py())
         yield packed(total)
 
-    partial, parts = named.mapInArrow(block, "g binary"), named.rdd.getNumPartitions()
+    partial, parts = rows.mapInArrow(block, "g binary"), rows.rdd.getNumPartitions()
     while parts > FAN:
         parts = -(-parts // FAN)
         partial = partial.repartition(parts).mapInArrow(add, "g binary")
-    return sum((np.frombuffer(r.g) for r in partial.collect()), np.zeros(k * k)).reshape(k, k)  # at most FAN matrices
+    return sum((np.frombuffer(r.g) for r in partial.collect()), np.zeros(size))  # at most FAN vectors
+
+
+def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, without rows that have a null."""
+    return df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
 
 
 def linear(terms: Sequence[Column], beta: Sequence[float]) -> Column:

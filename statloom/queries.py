@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from . import fit_sql, model_queries, streaming  # noqa: F401  the former adds its queries to the catalogue
+from . import estimator_queries, fit_sql, model_queries, streaming  # noqa: F401  some add their queries to the catalogue
 from .operators import anova, linear, multivariate, panel, resampling, survival, testing
 from .plans import gram
 from .registry import ORACLES, QUERIES, f_sf_sql, from_row, register, t_two_sided_sql  # noqa: F401
 from .sources import p_values, scores, spells, table
-from .sources import panel as panel_view
 
 # --- analysis of variance ----------------------------------------------------------------------------------------------
 
@@ -171,20 +170,6 @@ SELECT *, 1-fisher/12000.0::DOUBLE*(SELECT sum(CASE WHEN j=4000 THEN 1 WHEN j%2=
 
 # --- panel -------------------------------------------------------------------------------------------------------------
 
-register("fe_entity", "beta:d n:i", lambda s, d: panel.within(panel_view(s, d), ("entity",)), "WITH w AS (SELECT y-avg(y) OVER e AS y, x-avg(x) OVER e AS x FROM panel WINDOW e AS (PARTITION BY entity)) SELECT sum(x*y)/sum(x*x) AS beta, count(*) AS n FROM w", 6)
-register("fe_time", "beta:d n:i", lambda s, d: panel.within(panel_view(s, d), ("period",)), "WITH w AS (SELECT y-avg(y) OVER e AS y, x-avg(x) OVER e AS x FROM panel WINDOW e AS (PARTITION BY period)) SELECT sum(x*y)/sum(x*x) AS beta, count(*) AS n FROM w", 6)
-register("fe_two_way", "beta:d n:i", lambda s, d: panel.within(panel_view(s, d), ("entity", "period")), """
-WITH w AS (SELECT y-avg(y) OVER (PARTITION BY entity)-avg(y) OVER (PARTITION BY period)+avg(y) OVER () AS y, x-avg(x) OVER (PARTITION BY entity)-avg(x) OVER (PARTITION BY period)+avg(x) OVER () AS x FROM panel)
-SELECT sum(x*y)/sum(x*x) AS beta, count(*) AS n FROM w""", 6)
-register("panel_between", "beta:d intercept:d", lambda s, d: panel.between(panel_view(s, d)), "WITH m AS (SELECT avg(y) AS y, avg(x) AS x FROM panel GROUP BY entity) SELECT regr_slope(y,x) AS beta, regr_intercept(y,x) AS intercept FROM m", 6)
-register("panel_first_difference", "beta:d n:i", lambda s, d: panel.first_difference(panel_view(s, d)), "WITH w AS (SELECT y-lag(y) OVER e AS y, x-lag(x) OVER e AS x FROM panel WINDOW e AS (PARTITION BY entity ORDER BY period)) SELECT sum(x*y)/sum(x*x) AS beta, count(*) AS n FROM w WHERE x IS NOT NULL", 6)
-register("panel_pooled", "beta:d intercept:d se:d se_cluster:d", lambda s, d: panel.pooled(panel_view(s, d)), """
-WITH f AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, count(*) AS n FROM panel),
-e AS (SELECT entity, (x-mx)*(y-a-b*x) AS u, (y-a-b*x)*(y-a-b*x) AS ee FROM panel, f), g AS (SELECT sum(u) AS u, sum(ee) AS ee FROM e GROUP BY entity), t AS (SELECT sum(u*u) AS uu, sum(ee) AS ee FROM g)
-SELECT b AS beta, a AS intercept, sqrt(ee/(n-2)/sxx) AS se, sqrt(uu)/sxx AS se_cluster FROM t, f""", 6)
-register("fama_macbeth", "beta:d se:d periods:i", lambda s, d: panel.fama_macbeth(panel_view(s, d)), "WITH b AS (SELECT regr_slope(y,x) AS b FROM panel GROUP BY period) SELECT avg(b) AS beta, stddev_samp(b)/sqrt(count(*)) AS se, count(*) AS periods FROM b", 6)
-
-
 def _daily(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.sum("o_totalprice").alias("y"))
 
