@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import fit_sql
 from .functions import special
-from .operators import glm, linear, models, multivariate, resampling, survival, testing
+from .functions.penalties import L1, ElasticNet, get_penalty
+from .operators import cv, glm, linear, models, multivariate, resampling, solvers, survival, testing
 from .registry import from_row, register, t_two_sided_sql
 from .sources import p_values, scores, spells, table
 
@@ -146,6 +147,36 @@ WITH r AS (SELECT l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice/1000 AS
 t AS (SELECT k.f, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y,x) AS sxx, regr_sxy(y,x) AS sxy FROM r, k WHERE r.f <> k.f GROUP BY k.f),
 b AS (SELECT f, alpha, mx, my, sxy/(sxx+alpha*n) AS b FROM t, (SELECT unnest({ALPHAS})::DOUBLE AS alpha)),
 e AS (SELECT f, alpha, avg((y-my-b*(x-mx))*(y-my-b*(x-mx))) AS e FROM b JOIN r USING (f) GROUP BY ALL) SELECT alpha, avg(e) AS mse FROM e GROUP BY alpha""", 6)
+#: Each solver comes to the same fixed point as SQL's reweighted steps.
+for _s, _p in [("fista", "l1"), ("fista_bb", "l1"), ("newton", "l2"), ("proximal_newton", "elasticnet"), ("lbfgs", "l2"), ("lbfgs_b", "l2"), ("admm", "l1"), ("irls", "l2")]:
+    register(f"solver_{_s}", "intercept:d slope:r", lambda s, d, n=_s, p=_p: _line(s, solvers.solve(_binary(s, d), "y", ["x"], "logistic", get_penalty(p, alpha=0.02), n, tol=1e-6)), fit_sql.reweighted(BINARY, "logistic", _p, "0.02", "(SELECT ln(avg(y)/(1-avg(y))) FROM rows_)"), digits=3)
+STRENGTHS = [0.01, 0.1, 1.0, 10.0]
+FOLDED = f"""r AS (SELECT l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice/1000 AS y FROM lineitem), k AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+t AS (SELECT k.f, avg(x) AS mx, avg(y) AS my, var_pop(x) AS v, covar_pop(y,x) AS c FROM r, k WHERE r.f <> k.f GROUP BY k.f), g AS (SELECT unnest({STRENGTHS})::DOUBLE AS alpha)"""
+ERRORS = "e AS (SELECT f, alpha, avg((y-my-b*(x-mx))*(y-my-b*(x-mx))) AS e FROM b JOIN r USING (f) GROUP BY ALL) SELECT alpha, avg(e) AS mse FROM e GROUP BY alpha"
+
+
+def _path(s: SparkSession, d: str, penalty) -> DataFrame:
+    g = cv.fold_grams(_prices(s, d), "y", ["l_quantity"], F.col("l_orderkey") % 5, 5)
+    return from_row(s, ["alpha", "mse"], [(a, float(m)) for a, m in zip(STRENGTHS, cv.linear_cv(g, penalty, STRENGTHS)[1], strict=True)], "dd")
+
+
+register("lasso_cv", "alpha:d mse:d", lambda s, d: _path(s, d, L1), f"WITH {FOLDED}, b AS (SELECT f, alpha, mx, my, sign(c)*greatest(abs(c)-alpha,0)/v AS b FROM t, g), {ERRORS}", 6)
+register("elastic_net_cv", "alpha:d mse:d", lambda s, d: _path(s, d, lambda a: ElasticNet(a, 0.5)), f"WITH {FOLDED}, b AS (SELECT f, alpha, mx, my, sign(c)*greatest(abs(c)-alpha/2,0)/(v+alpha/2) AS b FROM t, g), {ERRORS}", 6)
+
+
+def _logistic_cv(s: SparkSession, d: str) -> DataFrame:
+    alphas = [0.5, 0.05, 0.005]
+    _, mean, _ = cv.glm_cv(_binary(s, d), "y", ["x"], F.col("id") % 3, 3, "logistic", "l2", alphas)
+    return from_row(s, ["alpha", "loss"], [(a, float(v)) for a, v in zip(alphas, mean, strict=True)], "dd")
+
+
+register("logistic_cv", "alpha:d loss:d", _logistic_cv, """
+WITH RECURSIVE r AS (SELECT id % 3 AS f, y, score/1000 AS x FROM scores), g AS (SELECT f, alpha FROM (SELECT unnest([0, 1, 2]) AS f), (SELECT unnest([0.5, 0.05, 0.005])::DOUBLE AS alpha)),
+it(k, f, alpha, a, b) AS (SELECT 0, f, alpha, 0.0::DOUBLE, 0.0::DOUBLE FROM g UNION ALL SELECT k+1, f, alpha, ((s2+n*alpha)*t0-s1*t1)/((s2+n*alpha)*s0-s1*s1), (s0*t1-s1*t0)/((s2+n*alpha)*s0-s1*s1) FROM (
+SELECT k, f, alpha, count(*) AS n, sum(w) AS s0, sum(w*x) AS s1, sum(w*x*x) AS s2, sum(w*z) AS t0, sum(w*x*z) AS t1 FROM (
+SELECT k, f, alpha, x, p*(1-p) AS w, a+b*x+(y-p)/(p*(1-p)) AS z FROM (SELECT it.*, x, y, 1/(1+exp(-a-b*x)) AS p FROM it, r WHERE it.f <> r.f AND k < 25)) GROUP BY k, f, alpha)),
+l AS (SELECT it.f, alpha, avg(greatest(a+b*x,0)+ln(1+exp(-abs(a+b*x)))-y*(a+b*x)) AS l FROM it JOIN r ON it.f = r.f WHERE k = 25 GROUP BY ALL) SELECT alpha, avg(l) AS loss FROM l GROUP BY alpha""", 5)
 KNOTS = [float(k) for k in range(-30, 91, 10)]
 
 

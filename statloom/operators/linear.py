@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import f_sf
 from ..plans import gram, linear
+from ..plans.ranks import ranked
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,22 +36,35 @@ class LinearModel:
         self.tss = c[p, p]
         self.rss = c[p, p] - 2 * slope @ c[:p, p] + slope @ c[:p, :p] @ slope
         self.df = self.n - p - 1
-        self.bread = _solve(g[: p + 1, : p + 1], np.eye(p + 1))
-        self.se = np.sqrt(np.diag(self.bread) * self.rss / self.df)
+        ridge = alpha * np.diag([0.0, *[1.0] * p])
+        self.bread = _solve(g[: p + 1, : p + 1] + ridge, np.eye(p + 1))
+        # with a penalty, the sums between its inverses; without, the inverse alone
+        middle = self.bread @ g[: p + 1, : p + 1] @ self.bread if alpha else self.bread
+        self.se = np.sqrt(np.diag(middle) * self.rss / self.df)
 
     def stats(self) -> dict[str, float]:
         n, p = self.n, len(self.beta) - 1
-        r2 = 1 - self.rss / self.tss
+        r2 = 1 - self.rss / self.tss if self.tss > 0 else 0.0
         llf = -n / 2 * (np.log(2 * np.pi * self.rss / n) + 1)
-        return {"r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / self.df, "f": (r2 / p) / ((1 - r2) / self.df), "llf": llf, "aic": -2 * llf + 2 * (p + 1), "bic": -2 * llf + np.log(n) * (p + 1), "sigma2": self.rss / self.df}
+        f = ((self.tss - self.rss) / p) / (self.rss / self.df) if self.rss > 0 else float("inf")
+        return {"r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / self.df, "f": f, "f_p": f_sf(f, p, self.df) if np.isfinite(f) else 0.0, "llf": llf, "aic": -2 * llf + 2 * (p + 1), "bic": -2 * llf + np.log(n) * (p + 1), "sigma2": self.rss / self.df}
+
+    def score(self, df: DataFrame, y: str) -> float:
+        """R squared on any rows."""
+        e = F.col(y) - self.predict([F.col(c) for c in self.names[1:]])
+        r = df.agg(F.sum(e * e), F.var_pop(y), F.count(y)).first()
+        return 1 - r[0] / (r[1] * r[2]) if r[1] else 0.0
 
     def predict(self, terms: Sequence[Column]) -> Column:
         return linear([F.lit(1.0), *terms], self.beta)
 
 
 def ols(df: DataFrame, y: str, x: Sequence[str], weight: str | None = None, alpha: float = 0.0) -> LinearModel:
+    """Least squares with an intercept. alpha: a ridge penalty on the mean loss, so alpha * n is added to the sums (with
+    weights, alpha times their sum)."""
     columns = [F.lit(1.0), *[F.col(c) for c in x], F.col(y)]
-    return LinearModel(x, gram(df, columns, None if weight is None else F.col(weight)), alpha)
+    g = gram(df, columns, None if weight is None else F.col(weight))
+    return LinearModel(x, g, alpha * g[0, 0])
 
 
 def coefficients(df: DataFrame, m: LinearModel) -> DataFrame:
@@ -58,56 +73,69 @@ def coefficients(df: DataFrame, m: LinearModel) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_err double, t double")
 
 
-def robust(df: DataFrame, y: str, x: Sequence[str], kind: str) -> np.ndarray:
-    """Heteroskedasticity-consistent standard errors (hc0 to hc3): one more pass over the rows for the meat."""
+def hac_lags(n: float, lags: int | None = None) -> int:
+    return int(min(max(np.floor(4 * (n / 100) ** (2 / 9)) if lags is None else lags, 0), n - 1))
+
+
+def robust(df: DataFrame, y: str, x: Sequence[str], kind: str, order: str | None = None, lags: int | None = None) -> np.ndarray:
+    """Standard errors from one more pass for the meat: hc0 to hc3, or hac, with Bartlett's weights over rows in an order (a
+    whole number that rows follow each other by)."""
     m = ols(df, y, x)
     terms = [F.lit(1.0), *[F.col(c) for c in x]]
     e = F.col(y) - m.predict(terms[1:])
-    h = F.lit(0.0)
-    for i, a in enumerate(terms):
-        for j, b in enumerate(terms):
-            h = h + a * b * float(m.bread[i, j])
-    w = {"hc0": e * e, "hc1": e * e * float(m.n / m.df), "hc2": e * e / (1 - h), "hc3": e * e / ((1 - h) * (1 - h))}[kind]
-    meat = gram(df, terms, w)
+    if kind == "hac":
+        meat = _hac_meat(df.select(F.col(order).alias("__o"), *[(e * t).alias(f"u{i}") for i, t in enumerate(terms)]), len(terms), hac_lags(m.n, lags))
+    else:
+        h = F.least(F.greatest(_quadratic(terms, m.bread), F.lit(0.0)), F.lit(1 - 1e-12))
+        w = {"hc0": e * e, "hc1": e * e * float(m.n / m.df), "hc2": e * e / (1 - h), "hc3": e * e / ((1 - h) * (1 - h))}[kind]
+        meat = gram(df, terms, w)
     return np.sqrt(np.diag(m.bread @ meat @ m.bread))
 
 
-def leverage(df: DataFrame, y: str, x: Sequence[str], m: LinearModel) -> DataFrame:
-    """df with h, resid, student (internally studentized) and cooks."""
-    terms = [F.lit(1.0), *[F.col(c) for c in x]]
-    h = F.lit(0.0)
+def _hac_meat(scores: DataFrame, k: int, lags: int) -> np.ndarray:
+    """Rows are ranked over the whole table in ranges; each meets those up to so many ranks before it by a join on the rank."""
+    rows, _, _ = ranked(scores, "__o", rank="__r")
+    names = [f"u{i}" for i in range(k)]
+    rows = rows.select("__r", *names)
+    total = gram(rows, [F.col(n) for n in names])
+    if not lags:
+        return total
+    shifts = F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("__h")
+    before = rows.select("*", shifts).select((F.col("__r") + F.col("__h")).alias("__r"), "__h", *[F.col(n).alias(f"b{n}") for n in names])
+    w = 1 - F.col("__h") / float(lags + 1)
+    both = rows.join(before, "__r")
+    cross = gram(both, [*[F.col(n) for n in names], *[F.col(f"b{n}") for n in names]], w)[:k, k:]
+    return total + cross + cross.T
+
+
+def _quadratic(terms: Sequence[Column], m: np.ndarray) -> Column:
+    out = F.lit(0.0)
     for i, a in enumerate(terms):
         for j, b in enumerate(terms):
-            h = h + a * b * float(m.bread[i, j])
-    s2, p = float(m.rss / m.df), len(terms)
-    out = df.withColumn("h", h).withColumn("resid", F.col(y) - m.predict(terms[1:]))
-    out = out.withColumn("student", F.col("resid") / F.sqrt(s2 * (1 - F.col("h"))))
-    return out.withColumn("cooks", F.col("student") * F.col("student") * F.col("h") / (1 - F.col("h")) / p)
+            out = out + a * b * float(m[i, j])
+    return out
 
 
-def glm(df: DataFrame, y: str, x: Sequence[str], family: str, steps: int = 25, ridge: float = 0.0) -> np.ndarray:
-    """Coefficients of a logistic model, or of another family with a log link, by reweighted least squares: an aggregate a step.
+def vif(df: DataFrame, x: Sequence[str]) -> DataFrame:
+    """(term, vif): 1 / (1 - R squared) of each column on the others; infinite where the others give it wholly."""
+    g = gram(df, [F.lit(1.0), *[F.col(c) for c in x]])
+    c = g[1:, 1:] / g[0, 0] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0] ** 2
+    d = np.sqrt(np.clip(np.diag(c), 1e-300, None))
+    r = c / np.outer(d, d)
+    whole = np.linalg.eigvalsh(r)[0] < 1e-12
+    v = np.full(len(x), np.inf) if whole else np.diag(np.linalg.inv(r))
+    return df.sparkSession.createDataFrame([(n, float(a)) for n, a in zip(x, v, strict=True)], "term string, vif double")
 
-    Families: logistic, poisson, gamma, inverse_gaussian, negative_binomial (alpha 1), tweedie (power 1.5).
-    """
+
+def leverage(df: DataFrame, y: str, x: Sequence[str], m: LinearModel) -> DataFrame:
+    """df with h, resid, standard, student (internally studentized), external (by the scale without the row) and cooks."""
     terms = [F.lit(1.0), *[F.col(c) for c in x]]
-    beta = np.zeros(len(terms))
-    if family != "logistic":
-        beta[0] = np.log(max(df.agg(F.avg(y)).first()[0] or 1.0, 1e-8))
-    for _ in range(steps):
-        eta = linear(terms, beta)
-        mu = 1 / (1 + F.exp(-eta)) if family == "logistic" else F.exp(eta)
-        # squared slope of the mean over the variance
-        w = {"logistic": mu * (1 - mu), "poisson": mu, "gamma": F.lit(1.0), "inverse_gaussian": 1 / mu, "negative_binomial": mu / (1 + mu), "tweedie": F.sqrt(mu)}[family]
-        z = eta + (F.col(y) - mu) / (w if family == "logistic" else mu)
-        g = gram(df.withColumn("__z", z), [*terms, F.col("__z")], w)
-        k = len(terms)
-        new = _solve(g[:k, :k] + ridge * np.eye(k), g[:k, k])
-        done = np.abs(new - beta).max() < 1e-10
-        beta = new
-        if done:
-            break
-    return beta
+    s2, p = float(m.rss / m.df), len(terms)
+    out = df.withColumn("h", _quadratic(terms, m.bread)).withColumn("resid", F.col(y) - m.predict(terms[1:]))
+    out = out.withColumn("student", F.col("resid") / F.sqrt(s2 * (1 - F.col("h")))).withColumn("standard", F.col("resid") / float(np.sqrt(s2)))
+    t2 = F.col("student") * F.col("student")
+    out = out.withColumn("external", F.col("student") * F.sqrt((m.df - 1) / (m.df - t2)))
+    return out.withColumn("cooks", F.col("student") * F.col("student") * F.col("h") / (1 - F.col("h")) / p)
 
 
 def pearson_dispersion(df: DataFrame, y: str, mean: Column, variance: Column, params: int) -> DataFrame:

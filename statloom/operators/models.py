@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import get_loss
-from ..functions.special import norm_cdf, t_quantile, t_sf_two_sided
+from ..functions.special import norm_cdf
 from ..plans import gram, linear
 from . import glm
 from .linear import LinearModel, _solve, ols
@@ -24,13 +24,6 @@ TUNING = {"huber": 1.345, "bisquare": 4.685, "fair": 1.3998}
 MEDIAN_ACCURACY = 100_000
 
 
-def inference(df: DataFrame, m: LinearModel, alpha: float = 0.05) -> DataFrame:
-    """(term, estimate, std_err, t, p, low, high) by Student's distribution."""
-    q = t_quantile(1 - alpha / 2, float(m.df))
-    rows = [(n, float(b), float(s), float(b / s), t_sf_two_sided(float(b / s), float(m.df)), float(b - q * s), float(b + q * s)) for n, b, s in zip(m.names, m.beta, m.se, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_err double, t double, p double, low double, high double")
-
-
 def robust_scale(df: DataFrame, y: str, x: Sequence[str], beta: Sequence[float]) -> float:
     """Median absolute residual / 0.6745, about 0."""
     r = F.col(y) - linear([F.lit(1.0), *[F.col(c) for c in x]], beta)

@@ -77,40 +77,50 @@ covar_pop(l_quantity,l_extendedprice) AS s1y, covar_pop(l_discount,l_extendedpri
 register("ols_two", "term:s estimate:d", lambda s, d: _ols(s, d, X2), f"""
 WITH {TWO}, b AS (SELECT *, (s1y*s22-s2y*s12)/(s11*s22-s12*s12) AS b1, (s2y*s11-s1y*s12)/(s11*s22-s12*s12) AS b2 FROM m)
 SELECT 'intercept' AS term, my-b1*m1-b2*m2 AS estimate FROM b UNION ALL SELECT 'l_quantity', b1 FROM b UNION ALL SELECT 'l_discount', b2 FROM b""", 6)
-register("ridge_two", "term:s estimate:d", lambda s, d: _ols(s, d, X2, alpha=1000.0), f"""
-WITH {TWO}, r AS (SELECT *, n*s11+1000.0 AS a11, n*s22+1000.0 AS a22, n*s12 AS a12, n*s1y AS a1, n*s2y AS a2 FROM m),
+register("ridge_two", "term:s estimate:d", lambda s, d: _ols(s, d, X2, alpha=0.5), f"""
+WITH {TWO}, r AS (SELECT *, n*s11+0.5*n AS a11, n*s22+0.5*n AS a22, n*s12 AS a12, n*s1y AS a1, n*s2y AS a2 FROM m),
 b AS (SELECT *, (a1*a22-a2*a12)/(a11*a22-a12*a12) AS b1, (a2*a11-a1*a12)/(a11*a22-a12*a12) AS b2 FROM r)
-SELECT 'intercept' AS term, my-b1*m1-b2*m2 AS estimate FROM b UNION ALL SELECT 'l_quantity', b1 FROM b UNION ALL SELECT 'l_discount', b2 FROM b""", 6)
+SELECT 'intercept' AS term, my-b1*m1-b2*m2 AS estimate FROM b UNION ALL SELECT 'l_quantity', b1 FROM b UNION ALL SELECT 'l_discount', b2 FROM b""", 5)
 register("wls_simple", "term:s estimate:d", lambda s, d: _ols(s, d, X1, "w"), """
 WITH w AS (SELECT l_tax+0.01 AS w, l_quantity AS x, l_extendedprice AS y FROM lineitem), m AS (SELECT sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my FROM w),
 b AS (SELECT any_value(mx) AS mx, any_value(my) AS my, sum(w*(x-mx)*(y-my))/sum(w*(x-mx)*(x-mx)) AS b FROM w, m)
 SELECT 'intercept' AS term, my-b*mx AS estimate FROM b UNION ALL SELECT 'l_quantity', b FROM b""", 6)
-STATS = ["r2", "adj_r2", "f", "llf", "aic", "bic", "sigma2"]
+STATS = ["r2", "adj_r2", "f", "f_p", "llf", "aic", "bic", "sigma2"]
 
 
 def _fit_stats(s: SparkSession, d: str) -> DataFrame:
     st = linear.ols(LI(s, d), "l_extendedprice", X1).stats()
-    return from_row(s, STATS, [tuple(float(st[k]) for k in STATS)], "d" * 7)
+    return from_row(s, STATS, [tuple(float(st[k]) for k in STATS)], "d" * 8)
 
 
-register("ols_fit_stats", " ".join(f"{k}:d" for k in STATS), _fit_stats, f"""
+register("ols_fit_stats", " ".join(f"{k}:{'r' if k == 'f_p' else 'd'}" for k in STATS), _fit_stats, f"""
 WITH r AS ({R1}), e AS (SELECT *, syy-sxy*sxy/sxx AS rss FROM r), l AS (SELECT *, 1-rss/syy AS r2, -n/2.0*(ln(2*pi()*rss/n)+1) AS llf FROM e)
-SELECT r2, 1-(1-r2)*(n-1)/(n-2) AS adj_r2, r2/((1-r2)/(n-2)) AS f, llf, -2*llf+4 AS aic, -2*llf+2*ln(n) AS bic, rss/(n-2) AS sigma2 FROM l""", 4)
+SELECT r2, 1-(1-r2)*(n-1)/(n-2) AS adj_r2, r2/((1-r2)/(n-2)) AS f, {t_two_sided_sql("sqrt(r2/((1-r2)/(n-2)))", "(n-2)")} AS f_p, llf, -2*llf+4 AS aic, -2*llf+2*ln(n) AS bic, rss/(n-2) AS sigma2 FROM l""", 4)
 for _kind, _factor in (("hc0", "1"), ("hc1", "n/(n-2.0)"), ("hc2", "1/(1-h)"), ("hc3", "1/((1-h)*(1-h))")):
     register(f"ols_{_kind}", "se:d", lambda s, d, kind=_kind: from_row(s, ["se"], [(float(linear.robust(LI(s, d), "l_extendedprice", X1, kind)[1]),)], "d"), f"""
 WITH r AS ({R1}), e AS (SELECT (l_quantity-mx) AS u, l_extendedprice-a-b*l_quantity AS e, 1.0/n+(l_quantity-mx)*(l_quantity-mx)/sxx AS h, n, sxx FROM lineitem, r)
 SELECT sqrt(sum(u*u*e*e*{_factor}))/any_value(sxx) AS se FROM e""", 6)
 
 
+def _shifted(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", (F.col("p_partkey") / 1000).alias("x"), (F.col("p_retailprice") + F.col("p_partkey") * 7919 % 100).alias("y"))
+
+
 def _influence(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "part").select("p_partkey", (F.col("p_partkey") / 1000).alias("x"), (F.col("p_retailprice") + F.col("p_partkey") * 7919 % 100).alias("y"))
+    df = _shifted(s, d)
     return linear.leverage(df, "y", ["x"], linear.ols(df, "y", ["x"]))
 
 
-register("ols_influence", "p_partkey:i h:r student:r cooks:r", _influence, """
+register("ols_influence", "p_partkey:i h:r standard:r student:r external:r cooks:r", _influence, """
 WITH p AS (SELECT p_partkey, p_partkey/1000 AS x, p_retailprice + p_partkey * 7919 % 100 AS y FROM part), r AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, count(*) AS n, regr_syy(y,x)-regr_sxy(y,x)*regr_sxy(y,x)/regr_sxx(y,x) AS rss FROM p),
-e AS (SELECT p_partkey, 1.0/n+(x-mx)*(x-mx)/sxx AS h, y-a-b*x AS e, rss/(n-2) AS s2 FROM p, r), t AS (SELECT p_partkey, h, e/sqrt(s2*(1-h)) AS student FROM e)
-SELECT p_partkey, h, student, student*student*h/(1-h)/2 AS cooks FROM t""", 5)
+e AS (SELECT p_partkey, 1.0/n+(x-mx)*(x-mx)/sxx AS h, y-a-b*x AS e, rss/(n-2) AS s2 FROM p, r), t AS (SELECT p_partkey, h, e/sqrt(s2) AS standard, e/sqrt(s2*(1-h)) AS student, n FROM e, (SELECT count(*) AS n FROM p))
+SELECT p_partkey, h, standard, student, student*sqrt((n-3)/(n-2-student*student)) AS external, student*student*h/(1-h)/2 AS cooks FROM t""", 5)
+register("ols_hac", "se:d", lambda s, d: from_row(s, ["se"], [(float(linear.robust(_shifted(s, d), "y", ["x"], "hac", "p_partkey")[1]),)], "d"), """
+WITH p AS (SELECT p_partkey, p_partkey/1000 AS x, p_retailprice + p_partkey * 7919 % 100 AS y FROM part), r AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, floor(4*pow(count(*)/100.0, 2.0/9)) AS lags FROM p),
+u AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, (x-mx)*(y-a-b*x) AS u, lags, sxx FROM p, r), g AS (SELECT a.u*a.u AS v, a.sxx FROM u a UNION ALL SELECT 2*(1-h/(a.lags+1))*a.u*b.u, a.sxx FROM u a, range(1, 30) q(h), u b WHERE h <= a.lags AND b.i = a.i-h)
+SELECT sqrt(sum(v))/any_value(sxx) AS se FROM g""", 5)
+register("vif", "term:s vif:d", lambda s, d: linear.vif(table(s, d, "part").withColumn("z", F.col("p_size") + F.col("p_partkey") % 9), ["p_size", "z"]), """
+WITH p AS (SELECT p_size AS a, p_size + p_partkey % 9 AS b FROM part), v AS (SELECT 1/(1-pow(corr(a,b),2)) AS v FROM p) SELECT 'p_size' AS term, v AS vif FROM v UNION ALL SELECT 'z', v FROM v""", 6)
 register("ols_categorical", "level:s contrast:d", lambda s, d: LI(s, d).groupBy(F.col("l_returnflag").alias("level")).agg(F.avg("l_extendedprice").alias("m")).withColumn("contrast", F.col("m") - F.min_by("m", "level").over(Window.partitionBy())), """
 SELECT l_returnflag AS level, avg(l_extendedprice) - (SELECT avg(l_extendedprice) FROM lineitem WHERE l_returnflag = (SELECT min(l_returnflag) FROM lineitem)) AS contrast FROM lineitem GROUP BY 1""", 5)
 
