@@ -27,25 +27,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
-from .pieces import CACHE_LENGTH, bounded
+from .pieces import CACHE_LENGTH
+from .tables import Table, worker_table
+from .words import stretch_hashes, text_bytes
 
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 16 << 20, 64 << 10
 #: Parts kept by a worker before it starts anew.
-PARTS_KEPT = 300_000
+PARTS_KEPT = 600_000
 #: Characters that no normalizer joins or splits: printable ASCII and the letters of Latin-1.
 SIMPLE = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-SIMPLE_LINE = regex.compile(r"[ -~À-ÖØ-öø-ÿ]*")
-#: Signs that are a part of their own after letters.
-SIGNS = frozenset(",.;:!?")
+#: Kinds of bytes.
+GAP, LETTER, DIGIT, SIGN, HARD = range(5)
 #: How a word-level vocabulary cuts a lower-cased word (fixed by the vocabulary's file).
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 
-_ids: dict[str, dict[str, bytes]] = {}
-_parts: dict[str, dict[str, bytes]] = {}
-
-
 @lru_cache(2)
 def _tokenizer(path: str):
     """The library's tokenizer, its special strings, for each id whether it ends a word, and the tokenizer for words already
@@ -63,75 +60,135 @@ def _tokenizer(path: str):
     return t, [x.content for x in t.get_added_tokens_decoder().values()], ends, cut_only
 
 
-def _encode_words(new: list[str], path: str, plain: bool) -> list[bytes]:
-    """Ids of each word (none has white space). Simple words are cut into parts, and unseen parts encoded in one call.
+def _encode_parts(parts: str, n: int, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of n parts that a space ends and that the library would not cut further, and how many each has."""
+    tokenizer, _, ends, cut_tokenizer = _tokenizer(path)
+    ids = np.array(cut_tokenizer.encode_batch_fast([parts], add_special_tokens=False)[0].ids, np.int32)
+    stops = np.flatnonzero(ends[ids]) + 1
+    if len(stops) == n:
+        return ids, np.diff(stops, prepend=0)
+    each = [e.ids for e in tokenizer.encode_batch_fast(parts.split(), add_special_tokens=False)]
+    return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+
+
+def _encode_words(words: list[str], path: str, plain: bool) -> list[bytes]:
+    """Ids of each word (none has white space). Simple words are cut into parts, and all parts encoded in one call.
 
     plain: no word holds a special string.
     """
-    tokenizer, special, ends, cut_tokenizer = _tokenizer(path)
-    known = bounded(_parts.setdefault(path, {}), PARTS_KEPT)
-    cuts: list[str | list[str] | None] = []  # a part, some parts, or none where the library has to cut
-    every = plain and SIMPLE_LINE.fullmatch(" ".join(new)) is not None
-    for w in new:
-        if not (every or SIMPLE.fullmatch(w) and (plain or not any(s in w for s in special))):
-            cuts.append(None)
-        elif w.isalpha():
-            cuts.append(w.lower())
-        elif w[-1] in SIGNS and w[:-1].isalpha():
-            cuts.append([w[:-1].lower(), w[-1]])
-        else:
-            cuts.append(WORD_PARTS.findall(w.lower()))
-    parts = {c for c in cuts if type(c) is str}
-    parts.update(*(c for c in cuts if type(c) is list))
-    unseen = list(parts - known.keys())
-    if unseen:
-        ids = np.array(cut_tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(ends[ids]) + 1
-        if len(stops) == len(unseen):
-            raw, begin = ids.tobytes(), 0
-            for part, stop in zip(unseen, (4 * stops).tolist(), strict=True):
-                known[part] = raw[begin:stop]
-                begin = stop
-        else:
-            for part, e in zip(unseen, tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-                known[part] = np.array(e.ids, "<u4").tobytes()
-    other = iter(tokenizer.encode_batch_fast([w for w, c in zip(new, cuts, strict=True) if c is None], add_special_tokens=False))
-    return [known[c] if type(c) is str else np.array(next(other).ids, "<u4").tobytes() if c is None else b"".join([known[p] for p in c]) for c in cuts]
+    tokenizer, special, _, _ = _tokenizer(path)
+    cuts = [WORD_PARTS.findall(w.lower()) if SIMPLE.fullmatch(w) and (plain or not any(s in w for s in special)) else None for w in words]
+    parts = list(set().union(*(c for c in cuts if c)))
+    ids, n = _encode_parts(" ".join(parts), len(parts), path) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    known = dict(zip(parts, (x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])), strict=True)) if parts else {}
+    other = iter(tokenizer.encode_batch_fast([w for w, c in zip(words, cuts, strict=True) if c is None], add_special_tokens=False))
+    return [np.array(next(other).ids, "<u4").tobytes() if c is None else b"".join([known[p] for p in c]) for c in cuts]
+
+
+def _classes(special: list[str]) -> np.ndarray:
+    """Of each byte: a gap between words, a letter, a digit, another sign, or one that only strings can tell about."""
+    out = np.full(256, HARD, np.uint8)
+    out[0x21:0x7F] = SIGN
+    out[0x30:0x3A] = DIGIT
+    out[0x41:0x5B] = out[0x61:0x7B] = LETTER
+    out[[0x20, 0x0A]] = GAP
+    out[[0x27, *(s.encode()[0] for s in special)]] = HARD  # contractions begin with an apostrophe
+    return out
+
+
+class _Store:
+    """Ids of parts by hash and of whole words by string, one after the other."""
+
+    def __init__(self) -> None:
+        self.places = Table(21)
+        self.words: dict[str, int] = {}
+        self.starts, self.lengths, self.ids = (np.zeros(n, np.int32) for n in (1, 1, 0))  # the first has no ids
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The places of new entries."""
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths]).astype(np.int32)
+        self.lengths = np.concatenate([self.lengths, lengths]).astype(np.int32)
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        return np.arange(first, len(self.starts), dtype=np.int32)
 
 
 def encode_arrays(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, with end_id after each text, and how many each has.
 
-    For vocabularies that drop white space and mark word ends, so that words are encoded one by one. Words are numbered by
-    Arrow; a batch's distinct words are looked up, and their ids gathered by number.
+    For vocabularies that drop white space, lower-case and mark word ends, so that words are encoded one by one, and the
+    parts that a word of ASCII characters and letters of Latin-1 is cut into by themselves. Parts are found and hashed in numpy;
+    those not met before are made strings and encoded by the library, as are words with other characters.
     """
-    known = bounded(_ids.setdefault(path, {"": b""}))
-    known[""] = b""
-    special = _tokenizer(path)[1]
+    tokenizer, special, ends, cut_tokenizer = _tokenizer(path)
+    store = worker_table("token_files", path, _Store)
+    if len(store.starts) > PARTS_KEPT:
+        store.__init__()
+    data, bounds = text_bytes(texts)
     plain = not any(pc.any(pc.match_substring(texts, s)).as_py() for s in special)
-    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-    numbered = words.flatten().dictionary_encode()
-    distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-    pieces = list(map(known.get, distinct))
-    missing = [i for i, x in enumerate(pieces) if x is None]
-    new = [distinct[i] for i in missing]
-    got = _encode_words(new, path, plain)
-    for i, x in zip(missing, got, strict=True):
-        pieces[i] = x
-    known |= {w: x for w, x in zip(new, got, strict=True) if len(w) <= CACHE_LENGTH}
-    pieces.append(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    starts = np.cumsum(lengths) - lengths
-    bounds = words.offsets.to_numpy()
-    order = np.insert(numbered.indices.to_numpy().astype(np.int32), bounds[1:], len(pieces) - 1)
-    each = lengths[order]
+    kind = _classes([] if plain else special)[data]
+    latin = np.flatnonzero(data[1:] >= 0x80) + 1
+    latin = latin[(data[latin - 1] == 0xC3) & (data[latin] < 0xC0) & (data[latin] != 0x97) & (data[latin] != 0xB7)]
+    kind[latin] = kind[latin - 1] = LETTER  # the letters of Latin-1 have two bytes
+    gap = kind == GAP
+    fresh = np.empty(len(data), bool)  # where the byte before is of another text, or a gap
+    fresh[:1] = True
+    fresh[1:] = gap[:-1]
+    fresh[bounds[:-1][bounds[:-1] < len(data)]] = True
+    word_starts = np.flatnonzero(fresh & ~gap)
+    hard = np.add.reduceat(kind == HARD, word_starts, dtype=np.int32) > 0 if len(word_starts) else np.zeros(0, bool)
+    part = fresh | (kind == DIGIT)
+    part[1:] |= kind[1:] != kind[:-1]
+    part &= ~gap
+    if hard.any():  # their words are one part each
+        inside = np.zeros(len(data) + 1, np.int8)
+        stops = np.append(word_starts[1:], len(data))
+        np.add.at(inside, word_starts[hard], 1)
+        np.add.at(inside, stops[hard], -1)
+        part &= (np.cumsum(inside[:-1]) == 0) | fresh
+    starts = np.flatnonzero(part)
+    after = np.concatenate([part[1:] | gap[1:] | fresh[1:], [True]]) if len(data) else part
+    stops = np.flatnonzero(after & ~gap) + 1
+    if len(stops) != len(starts):  # a word of one part may hold ends of parts
+        stops = stops[np.append(np.searchsorted(stops, starts[1:], "right") - 1, len(stops) - 1)]
+    whole = np.zeros(len(starts), bool)
+    whole[np.searchsorted(starts, word_starts[hard])] = True
+    places = np.empty(len(starts), np.int32)
+    easy = np.flatnonzero(~whole)
+    hashes = stretch_hashes(data, starts, stops).view(np.int64)[easy]
+    got = store.places.get(hashes)
+    new = np.flatnonzero(got < 0)
+    if len(new):
+        distinct, first = np.unique(hashes[new], return_index=True)
+        at = easy[new[first]]
+        n = stops[at] - starts[at] + 1  # each with the space after it
+        to = np.cumsum(n)
+        joined = data[np.minimum(np.repeat(starts[at] - (to - n), n) + np.arange(int(to[-1])), len(data) - 1)]
+        joined[to - 1] = 0x20
+        put = store.add(*_encode_parts(joined.tobytes().decode().lower(), len(at), path))
+        store.places.put(distinct, put)
+        got[new] = put[np.searchsorted(distinct, hashes[new])]
+    places[easy] = got
+    if hard.any():
+        at = np.flatnonzero(whole)
+        strings = [data[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+        missing = [w for w in dict.fromkeys(strings) if w not in store.words]
+        pieces = _encode_words(missing, path, plain)
+        put = store.add(np.frombuffer(b"".join(pieces), "<i4"), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)
+        now = dict(zip(missing, put.tolist(), strict=True))
+        store.words |= {w: i for w, i in now.items() if len(w) <= CACHE_LENGTH}
+        places[at] = [now[w] if w in now else store.words[w] for w in strings]
+    counts = np.searchsorted(starts, bounds)
+    end = store.add(np.array([end_id]), np.ones(1, np.int64)) if end_id is not None else np.zeros(1, np.int32)
+    order = np.insert(places, counts[1:], end[0])
+    each = store.lengths[order].astype(np.int64)
     stops = np.cumsum(each)
     total = int(stops[-1]) if len(stops) else 0
-    place = np.int32 if total < 1 << 31 else np.int64
-    at = np.repeat((starts[order] - (stops - each)).astype(place), each)
-    at += np.arange(total, dtype=place)
-    last = stops[bounds[1:] + np.arange(len(texts))] if len(texts) else stops
-    return np.frombuffer(b"".join(pieces), "<u4")[at], np.diff(last, prepend=0)
+    wide = np.int32 if total < 1 << 31 else np.int64
+    at = np.repeat((store.starts[order] - (stops - each)).astype(wide), each)
+    at += np.arange(total, dtype=wide)
+    last = stops[counts[1:] + np.arange(len(texts))] if len(texts) else stops
+    return store.ids[at].view("<u4"), np.diff(last, prepend=0)
 
 
 def encode_batch(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
