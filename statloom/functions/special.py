@@ -257,6 +257,15 @@ def _norm_cdf_values(z: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(-z / math.sqrt(2))
 
 
+def norm_ppf_values(q: np.ndarray) -> np.ndarray:
+    """The normal quantile of numbers in (0, 1), as norm_ppf()."""
+    c, r = q - 0.5, np.sqrt(-2 * np.log(np.minimum(q, 1 - q)))
+    tail = np.polyval(_PPF[2], r) / np.polyval(_PPF[3], r)
+    x = np.where(np.minimum(q, 1 - q) > 0.02425, np.polyval(_PPF[0], c * c) * c / np.polyval(_PPF[1], c * c), np.where(c < 0, tail, -tail))
+    e = (_norm_cdf_values(x) - q) * math.sqrt(2 * math.pi) * np.exp(x * x / 2)
+    return x - e / (1 + x * e / 2)
+
+
 def t_quantile(q: float, df: float) -> float:
     """The quantile of Student's distribution for q >= 0.5."""
     low, high = 0.0, 1.0

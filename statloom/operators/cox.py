@@ -94,7 +94,7 @@ def _score(rows: DataFrame, beta: np.ndarray, entry: bool, ties: str, penalty: f
         r = r.select("d", *[(F.col(f"dx{i}") / F.col("d")).alias(f"dx{i}") for i in range(p)], F.lit(1.0).alias("e"), *[(F.col(n) - F.col("k") / F.col("d") * F.col(f"t{n}")).alias(n) for n in names])
     else:
         r = r.withColumn("e", F.col("d"))
-    e, s = F.col("e"), F.col("s")
+    e, s = F.col("e"), F.greatest(F.col("s"), F.lit(1e-300))
     m = [F.col(f"s{i}") / s for i in range(p)]
     eta = linear([F.col(f"dx{i}") for i in range(p)], beta)
     got = r.agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def mixed(i: Column, rep: Column) -> Column:
     return d * PRIME + (d * d + c) % PRIME
 
 
+def mixed_values(i: np.ndarray, rep: int) -> np.ndarray:
+    """The same of numbers."""
+    i = i.astype(np.int64)
+    a = (i * 7919 + rep * 104729 + 12345) % PRIME
+    b = (a * a + 48271 * rep + i) % PRIME
+    c = (b * b + 16807 * a + 1) % PRIME
+    d = (c * c + b) % PRIME
+    return d * PRIME + (d * d + c) % PRIME
+
+
 def mixed_sql(i: str, rep: str) -> str:
     """The same in SQL."""
     p = PRIME
