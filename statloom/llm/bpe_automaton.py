@@ -35,7 +35,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Bits of the number of slots for transitions met; half of them are used before the table starts anew.
 TRANSITIONS = 20
 #: Bytes of words that are stepped at once, and pieces kept by a worker.
-STEPPED, PIECES = 1 << 20, 250_000
+STEPPED, PIECES = 1 << 18, 200_000
 NEVER = 1 << 40
 
 
@@ -282,21 +282,25 @@ def decode_batch(ids: list[bytes], a: Automaton) -> list[str]:
     return [spelt[x:y].decode("utf-8", "replace") for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Rows (id, n_tokens long, ids binary), one for each row of df; ids are little-endian unsigned 32-bit integers.
 
-    The automaton is compiled once, on the driver, and broadcast; its size is that of the vocabulary. Null and empty texts
-    have no ids. Repeated rows give repeated results, an empty table an empty one; other columns of df are not read.
+    decoded: one more column, the text that the ids spell, decoded from them in the same pass. The automaton is compiled
+    once, on the driver, and broadcast; its size is that of the vocabulary. Null and empty texts have no ids. Repeated rows
+    give repeated results, an empty table an empty one; other columns of df are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(automaton(path))
+    names = ["id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = encode_batch(b.column(1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            more = [pa.array(decode_batch(ids, shared.value), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names)
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    kind = f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary" + (", decoded string" if decoded else "")
+    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

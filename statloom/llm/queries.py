@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_automaton, maxent, mixing, near_dups, pii, png_media, token_counts, token_files, topk, toxicity
-from .common import fold, prepare, shared_dir, table
+from .common import fold, prepare, saved, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = png_media.image_features(png_media.text_images(table(spark, sf_dir, "documents")))
+    stored = saved(png_media.text_images(table(spark, sf_dir, "documents")))  # written, and read again from the files
+    got = png_media.image_features(stored)
     return got.withColumn("feature", F.lower(F.hex("hash"))).drop("media", "hash")
 
 
@@ -46,8 +47,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    got = bpe_automaton.bpe_decode(bpe_automaton.bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    got = bpe_automaton.bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
