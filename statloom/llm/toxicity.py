@@ -1,7 +1,7 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 Restoring. Stretches of a text that may be written to escape a word list (letters mixed with digits or signs, a letter
-three or more times in a row, single letters set apart) become lattices: each sign may stand for itself or for the letters
+three or more times in a row, three or more single letters set apart) become lattices: each sign may stand for itself or for the letters
 that it resembles, a run of a letter for one or two of it, a gap for nothing. Viterbi's algorithm finds the path that is
 likeliest under a character trigram model of the corpus times the channel's costs. All other words have one path, itself.
 
@@ -22,10 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .tables import worker_table
 
 #: Letters that a sign may stand for.
 SIGNS = {
@@ -41,21 +43,21 @@ K = len(LETTERS) + 1  # 0: no letter
 #: and of a gap between set-apart letters read as one between words.
 SIGN_COST, STAY_COST, WILD_COST, TWICE_COST, GAP_COST = 0.7, 3.0, 3.0, 0.7, 1.5
 
-SPACED = r"(?<![^\W_])(?:[^\W_]|[@$!])(?:[ .\-_*](?:[^\W_]|[@$!])){3,}(?![^\W_])"
+SPACED = r"(?<![^\W_])(?:[^\W_]|[@$!])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!])){2,}(?![^\W_])"
 #: MIXED and REPEATED begin only where a run of letters does: at a later letter they match no text that they missed before.
 MIXED = r"(?:[0-9@$!|+(€£]{1,3}+|(?<![^\W\d_]))[^\W\d_]++(?:[0-9@$!|+€£(*#]{1,2}[^\W\d_]*)+"
-REPEATED = r"(?:(?<![^\W_])|(?=\d))[^\W_]*([^\W\d_])\1\1[^\W_]*"
+REPEATED = r"(?:(?<![^\W_])|(?<![0-9])(?=\d))(?=[^\W_]*?([^\W\d_])\1\1)[^\W_]++"
 LED = r"[0-9@$!|€£]{1,2}[^\W\d_]{2,}"
 NOISY = re.compile(f"{SPACED}|{MIXED}|{LED}|{REPEATED}")
 #: What any noisy stretch holds besides a letter three times: a letter before a sign (MIXED), a sign before two letters (LED),
-#: or three set-apart characters, each after a separator (SPACED). Both begin with few characters, so they are quick to look for.
+#: or two set-apart characters, each after separators (SPACED). Both begin with few characters, so they are quick to look for.
 BY_SIGN = re.compile(r"[0-9@$!|+€£(*#](?:(?<=[^\W\d_].)|(?<![+(*#])[^\W\d_]{2})")
-BY_GAP = re.compile(r"[ .\-_*](?:[^\W_]|[@$!])(?:[ .\-_*](?:[^\W_]|[@$!])){2}")
+BY_GAP = re.compile(r"[ .\-_*](?:[^\W_]|[@$!])[ .\-_*]{1,3}(?:[^\W_]|[@$!])(?![^\W_])")
 LETTER = re.compile(r"[^\W\d_]")
 WORDS = re.compile(r"[^\W\d_]{2,}")
 STEM = 5
 #: Longest noisy stretch that is kept in a worker's table of restored stretches, and that table's size.
-KEPT_LENGTH, KEPT = 80, 200_000
+KEPT_LENGTH, KEPT = 80, 100_000
 
 
 def _table() -> np.ndarray:
@@ -162,12 +164,12 @@ def restore_stretch(stretch: str, model: np.ndarray | list[list[list[float]]]) -
 
 
 class Restorer:
-    """Restores texts; keeps what it has restored."""
+    """Restores texts; keeps what it has restored, under the model's name."""
 
     def __init__(self, model: np.ndarray):
+        self.name = xxhash.xxh3_64_hexdigest(np.ascontiguousarray(model).tobytes())
         self.model = [[list(map(float, r)) for r in p] for p in model]
         self.array = model
-        self.known: dict[str, str] = {}
 
     def __getstate__(self):
         return self.array
@@ -176,11 +178,12 @@ class Restorer:
         self.__init__(model)
 
     def stretch(self, m: re.Match) -> str:
-        got = self.known.get(m[0])
+        known = worker_table("toxicity", self.name)
+        got = known.get(m[0])
         if got is None:
             got = restore_stretch(m[0], self.model)
-            if len(m[0]) <= KEPT_LENGTH and len(self.known) < KEPT:
-                self.known[m[0]] = got
+            if len(m[0]) <= KEPT_LENGTH and len(known) < KEPT:
+                known[m[0]] = got
         return f" {m[0]} {got} "
 
     def text(self, text: str) -> str:
