@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -136,7 +136,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = df.select(key[0].alias("id"), key[1].alias("source"), key[2].alias("t"), word_count(F.col(text_col)).alias("size"))
     row = lambda i, s, t: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("s"), s), F.lit("-")), t)
     alike = saved(sized.groupBy("id", "source", "t").agg(F.sum("size").alias("size")))
-    got = copies(alike.select(row(F.col("id"), F.col("source"), F.col("t")).alias("row"), "source", "size")).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    got = saved(got.where("__copies > 0"))
-    out = df.withColumn("__key", row(*key)).join(got.hint("merge"), F.expr("__key = __row"))
-    return out.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))).alias("__n")).drop("__n")
+    got = copies(alike.select(row(F.col("id"), F.col("source"), F.col("t")).alias("row"), "source", "size")).select("row", "copies")
+    mine, theirs, times, one = (fresh(df, x) for x in ("key", "row", "copies", "one"))
+    got = saved(got.where("copies > 0")).toDF(theirs, times)
+    out = df.withColumn(mine, row(*key)).join(got.hint("merge"), F.col(mine) == F.col(theirs))
+    out = out.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
