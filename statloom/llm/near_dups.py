@@ -30,20 +30,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 from .links import components
-from .pieces import CACHE_SIZE
+from .tables import claim
+from .words import mix, word_hashes
 
 WORDS, COORDINATES, AGREE = 5, 40, 6
 #: MinHash values of a coordinate.
 VALUES = 3
 #: Documents of a list whose pairs are met one by one, and of one whose full sets are compared in blocks.
 SHORT, LONG = 32, 4096
-#: Hubs of each of its lists that a document meets first; documents of a block of full sets.
-HUBS, BLOCK = 3, 256
+#: Hubs of each of its lists that a document meets first; documents of a block of full sets, and their shingles, about.
+HUBS, BLOCK, BLOCK_SHINGLES = 3, 256, 1 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond that they are joined by shuffling.
 BROADCAST_IDS = 200_000
 #: Shingles hashed at once for a signature.
@@ -53,37 +54,30 @@ _rng = np.random.default_rng(20240501)
 MASKS = _rng.integers(0, 1 << 63, COORDINATES * VALUES, np.uint64)[:, None]
 FACTORS = (_rng.integers(0, 1 << 62, COORDINATES * VALUES, np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_SIZE and len(word) < 60:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles (lower-cased A-Z, words between ASCII white space).
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles (lower-cased A-Z, words between ASCII white space).
 
     With fewer words than a shingle has, the whole sequence is one; without words the set is empty.
     """
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
-    size = min(words, len(h))
-    n = len(h) - size + 1
-    s = np.full(n, size, np.uint64)
-    for i in range(size):
+    h, _, counts = word_hashes(texts)
+    stops = np.cumsum(counts)
+    n = max(0, len(h) - words + 1)
+    s = np.full(n, words, np.uint64)
+    for i in range(words):
         s = s * _ROLL + h[i : i + n]
-    s = (s ^ (s >> np.uint64(30))) * _MIX[0]
-    s = (s ^ (s >> np.uint64(27))) * _MIX[1]
-    return np.unique(s ^ (s >> np.uint64(31)))
+    s = mix(s)
+    out = []
+    for size, stop in zip(counts.tolist(), stops.tolist(), strict=True):
+        if size >= words:
+            out.append(np.unique(s[stop - size : stop - words + 1]))
+            continue
+        one = np.full(min(size, 1), size, np.uint64)
+        for x in h[stop - size : stop]:
+            one = one * _ROLL + x
+        out.append(mix(one))
+    return out
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -108,8 +102,9 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     """(id, n, d1, d2, sig) of rows (id, text); d1 and d2 are a digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dups")
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            sets = shingle_sets(b.column(1), words)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
@@ -120,8 +115,9 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dups")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), words)], pa.binary())], ["id", "set"])
 
     return rows.mapInArrow(run, "id long, set binary")
 
@@ -187,10 +183,13 @@ class _Linker:
         """
         bound = post.count()
         post = self.labelled(post)
-        tally = post.groupBy("key", "label").agg(F.count("*").alias("n"))
-        lists = tally.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        tally = post.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("z"))
+        lists = tally.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.bit_xor("x").alias("x"), F.bit_xor("z").alias("z")).where("labels > 1")
+        # of lists of the same documents one is worked on, but for those that are posted again under their own key
+        once = F.col("key") == F.min("key").over(Window.partitionBy("size", "x", "z"))
         kind = F.when(F.col("size") <= SHORT, "short").when(F.col("main.n") * 2 >= F.col("size"), "main").when(F.lit(whole) | (F.col("size") <= LONG), "whole").otherwise("later")
-        lists = saved(lists.select("key", kind.alias("kind"), F.when(kind == "main", F.col("main.label")).otherwise(F.col("key")).alias("of"), F.col("main.label").alias("main")), bound)
+        lists = lists.select("key", kind.alias("kind"), F.when(kind == "main", F.col("main.label")).otherwise(F.col("key")).alias("of"), F.col("main.label").alias("main"), once.alias("once"))
+        lists = saved(lists.where("once OR kind = 'later'").drop("once"), bound)
         post = saved(post.join(lists.hint("merge"), "key"), bound)
         a = post.where("kind = 'short'").select("key", F.col("doc").alias("a"), F.col("label").alias("la"))
         b = a.toDF("key", "b", "lb")
@@ -222,7 +221,10 @@ class _Linker:
         sets = self.sets_of(held.select(F.col("doc").alias("id")))
         if sets is None:
             return
-        sizes = saved(held.groupBy("kind", "of").agg(F.ceil(F.count("*") / BLOCK).alias("ny"), F.ceil(F.count_if("asks") / BLOCK).alias("nx")), held.count())
+        long = held.join(self.sigs.select(F.col("id").alias("doc"), "n").hint("merge"), "doc")
+        blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1))
+        asked = F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0))
+        sizes = saved(long.groupBy("kind", "of").agg(blocks(F.count("*"), F.sum("n")).alias("ny"), blocks(F.count_if("asks"), asked).alias("nx")), held.count())
         sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes.hint("merge")
         rows = held.join(sets.withColumnRenamed("id", "doc").hint("merge"), "doc").join(sizes, ["kind", "of"])
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
