@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from .operators import clustering, cox, decomposition, panel_models
+from .operators import clustering, cox, decomposition, kernels, multivariate, panel_models, robust_covariance, selection
 from .operators.resampling import mixed_sql
 from .registry import from_row, register
 from .sources import panel as panel_view
@@ -250,3 +250,62 @@ def _svd(s: SparkSession, d: str) -> DataFrame:
 register("truncated_svd_scores", "id:i score:r", _svd, f"WITH {POINTS}, c AS (SELECT sum(a*a) AS c11, sum(a*b) AS c12, sum(b*b) AS c22 FROM pts), t AS (SELECT *, {ANGLE} AS t FROM c) SELECT id, {_flipped('cos(t)*a+sin(t)*b')} AS score FROM pts, t")
 register("randomized_svd", "s1:d s2:d", lambda s, d: from_row(s, ["s1", "s2"], [tuple(map(float, decomposition.randomized_svd(_points(s, d), ["a", "b"], 2)[0]))], "dd"), f"""
 WITH {POINTS}, c AS (SELECT sum(a*a) AS p, sum(a*b) AS q, sum(b*b) AS r FROM pts), e AS (SELECT (p+r)/2+sqrt((p-r)*(p-r)/4+q*q) AS l, p*r-q*q AS d FROM c) SELECT sqrt(l) AS s1, sqrt(d/l) AS s2 FROM e""", 5)
+
+# --- kernels, densities, selection, likelihoods ------------------------------------------------------------------------
+
+VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+PAIRED = f"{VECTORS}, j AS (SELECT a.id AS a, b.id AS b, a.v AS x, b.v AS y FROM v a, v b WHERE b.id % 50 = 0)"
+
+
+def _pairs(s: SparkSession, d: str, name: str) -> DataFrame:
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.abs(e.cast("double")) if name == "chi2" else e.cast("double")).alias("v"))
+    return kernels.pairwise(v, v.where("id % 50 = 0"), "id", "v", name)
+
+
+for _n, _sql in {
+    "rbf": "exp(-list_sum(list_transform(list_zip(x, y), lambda z: (z[1]-z[2])*(z[1]-z[2])))/len(x))", "polynomial": "pow(list_dot_product(x, y)/len(x)+1, 3)", "sigmoid": "tanh(list_dot_product(x, y)/len(x)+1)",
+    "laplacian": "exp(-list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1]-z[2])))/len(x))", "linear": "list_dot_product(x, y)", "cosine": "list_dot_product(x, y)/(sqrt(list_dot_product(x, x))*sqrt(list_dot_product(y, y))+1e-10)",
+    "chi2": "exp(-list_sum(list_transform(list_zip(x, y), lambda z: CASE WHEN abs(z[1])+abs(z[2]) > 0 THEN pow(abs(z[1])-abs(z[2]), 2)/(abs(z[1])+abs(z[2])) ELSE 0 END)))",
+}.items():
+    register(f"pairwise_{_n}", "a:i b:i value:r", lambda s, d, n=_n: _pairs(s, d, n), f"WITH {PAIRED} SELECT a, b, {_sql} AS value FROM j")
+
+GRID = [(2.0, 9.2), (5.0, 9.5), (9.0, 9.9)]
+
+
+def _density(s: SparkSession, d: str, weight: str | None) -> DataFrame:
+    df = _points(s, d).withColumn("w", (F.col("id") % 3 + 1).cast("double"))
+    got = kernels.kde_multivariate(df, ["a", "b"], np.array(GRID), "scott", weight)
+    return from_row(s, ["point", "density"], [(float(i), float(v)) for i, v in enumerate(got)], "dd")
+
+
+for _n, _w in (("kde_two_columns", "1.0"), ("kde_weighted", "(id % 3 + 1)")):
+    register(_n, "point:i density:d", lambda s, d, w=None if _w == "1.0" else "w": _density(s, d, w), f"""
+WITH {POINTS}, u AS (SELECT a, b, {_w}/(SELECT sum({_w}::DOUBLE) FROM pts) AS w FROM pts), m AS (SELECT sum(w*a) AS ma, sum(w*b) AS mb, sum(w*w) AS q FROM u),
+c AS (SELECT sum(w*(a-ma)*(a-ma))/(1-any_value(q))*any_value(pow(q, 1.0/3)) AS aa, sum(w*(a-ma)*(b-mb))/(1-any_value(q))*any_value(pow(q, 1.0/3)) AS ab, sum(w*(b-mb)*(b-mb))/(1-any_value(q))*any_value(pow(q, 1.0/3)) AS bb FROM u, m),
+g AS (SELECT unnest({list(range(len(GRID)))}) AS point, unnest({[p[0] for p in GRID]})::DOUBLE AS pa, unnest({[p[1] for p in GRID]})::DOUBLE AS pb)
+SELECT point, sum(w*exp(-0.5*(bb*(pa-a)*(pa-a)-2*ab*(pa-a)*(pb-b)+aa*(pb-b)*(pb-b))/(aa*bb-ab*ab)))/(2*pi()*sqrt(any_value(aa*bb-ab*ab))) AS density FROM u, c, g GROUP BY point""", 5)
+
+
+def _steps(s: SparkSession, d: str, kind: str) -> DataFrame:
+    df = table(s, d, "part").withColumn("y", F.col("p_retailprice") / 10 + F.col("p_size") * 0.3)
+    got, best = selection.stepwise(df.withColumn("z", F.col("p_partkey") % 11), "y", ["p_size", "z"], kind)
+    return from_row(s, ["size", "z", "best"], [(float("p_size" in got), float("z" in got), best)], "ddd")
+
+
+for _k, _cost in (("aic", "2"), ("bic", "ln(n)")):
+    register(f"stepwise_{_k}", "size:i z:i best:d", lambda s, d, k=_k: _steps(s, d, k), f"""
+WITH p AS (SELECT p_retailprice/10 + p_size*0.3::DOUBLE AS y, p_size::DOUBLE AS a, (p_partkey % 11)::DOUBLE AS b FROM part),
+t AS (SELECT count(*) AS n, regr_syy(y,a) AS yy, regr_sxx(y,a) AS aa, regr_sxy(y,a) AS ay, regr_sxx(y,b) AS bb, regr_sxy(y,b) AS byy, regr_sxy(b,a) AS ab FROM p),
+r AS (SELECT 0 AS size, 0 AS z, yy AS rss, 1 AS k, n FROM t UNION ALL SELECT 1, 0, yy-ay*ay/aa, 2, n FROM t UNION ALL SELECT 0, 1, yy-byy*byy/bb, 2, n FROM t UNION ALL SELECT 1, 1, yy-(ay*ay*bb-2*ay*byy*ab+byy*byy*aa)/(aa*bb-ab*ab), 3, n FROM t)
+SELECT size, z, n*(ln(2*pi()*rss/n)+1)+{_cost}*k AS best FROM r ORDER BY best LIMIT 1""", 6)
+
+
+def _likelihood(s: SparkSession, d: str) -> DataFrame:
+    df = _points(s, d)
+    c, mean, _ = multivariate.covariance(df, ["a", "b"])
+    return from_row(s, ["score"], [(robust_covariance.score(df.where("id % 2 = 0"), ["a", "b"], mean, c),)], "d")
+
+
+register("cov_score", "score:d", _likelihood, f"""
+WITH {POINTS}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, covar_pop(a,a) AS aa, covar_pop(a,b) AS ab, covar_pop(b,b) AS bb FROM pts)
+SELECT avg(-0.5*(2*ln(2*pi())+ln(aa*bb-ab*ab)+(bb*(a-ma)*(a-ma)-2*ab*(a-ma)*(b-mb)+aa*(b-mb)*(b-mb))/(aa*bb-ab*ab))) AS score FROM pts, m WHERE id % 2 = 0""", 6)

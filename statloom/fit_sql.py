@@ -95,3 +95,28 @@ SELECT k+1, i, CASE WHEN c < i/20.0::DOUBLE THEN (a+b)/2 ELSE a END, CASE WHEN c
 SELECT k, i, any_value(a) AS a, any_value(b) AS b, {value} + (any_value(a+b)/2-{base})/6000*sum(w*({density})) AS c FROM (
 SELECT k, i, a, b, {base}+((a+b)/2-{base})*j/2000 AS u, CASE WHEN j IN (0,2000) THEN 1 WHEN j%2=1 THEN 4 ELSE 2 END AS w FROM it, range(2001) q(j) WHERE k < 45) GROUP BY k, i))
 SELECT i, (a+b)/2 AS value FROM it WHERE k = 45"""
+
+
+def ordered_logit(rows: str, steps: int = 40) -> str:
+    """Scoring steps on products of scores, for three categories y of 0, 1, 2 and one regressor x."""
+    f = "1/(1+exp(-({})))"
+    det = "(gaa*(gcc*gbb-gcb*gcb)-gac*(gac*gbb-gcb*gab)+gab*(gac*gcb-gcc*gab))"
+    da = "(sa*(gcc*gbb-gcb*gcb)-gac*(sc*gbb-gcb*sb)+gab*(sc*gcb-gcc*sb))"
+    dc = "(gaa*(sc*gbb-gcb*sb)-sa*(gac*gbb-gcb*gab)+gab*(gac*sb-sc*gab))"
+    db = "(gaa*(gcc*sb-sc*gcb)-gac*(gac*sb-sc*gab)+sa*(gac*gcb-gcc*gab))"
+    return f"""WITH RECURSIVE rows_ AS ({rows}), p AS (SELECT avg((y=0)::INT) AS p0, avg((y<=1)::INT) AS p1 FROM rows_),
+it(k, a, c, b, ll) AS (SELECT 0, ln(p0/(1-p0)), ln(p1/(1-p1)), 0.0::DOUBLE, 0.0::DOUBLE FROM p UNION ALL
+SELECT k+1, a+{da}/{det}, c+{dc}/{det}, b+{db}/{det}, ll FROM (SELECT k, any_value(a) AS a, any_value(c) AS c, any_value(b) AS b, sum(l) AS ll, sum(ua) AS sa, sum(uc) AS sc, sum(ub) AS sb,
+sum(ua*ua) AS gaa, sum(ua*uc) AS gac, sum(uc*uc) AS gcc, sum(ua*ub) AS gab, sum(uc*ub) AS gcb, sum(ub*ub) AS gbb FROM (
+SELECT k, a, c, b, ln(pr) AS l, CASE y WHEN 0 THEN fu WHEN 1 THEN -fl ELSE 0 END AS ua, CASE y WHEN 1 THEN fu WHEN 2 THEN -fl ELSE 0 END AS uc, (fl-fu)*x AS ub FROM (
+SELECT k, a, c, b, x, y, pr, CASE WHEN y<2 THEN u*(1-u) ELSE 0 END/pr AS fu, CASE WHEN y>0 THEN w*(1-w) ELSE 0 END/pr AS fl FROM (
+SELECT *, CASE WHEN y<2 THEN u ELSE 1 END-CASE WHEN y>0 THEN w ELSE 0 END AS pr FROM (
+SELECT k, a, c, b, x, y, {f.format('CASE y WHEN 0 THEN a ELSE c END-b*x')} AS u, {f.format('CASE y WHEN 1 THEN a ELSE c END-b*x')} AS w FROM it, rows_ WHERE k < {steps})))) GROUP BY k))
+SELECT a AS first, c AS second, b AS slope, ll AS loglik FROM it WHERE k = {steps}"""
+
+
+def additive_cells(cells: str, steps: int = 200) -> str:
+    """A view `fit_` of cells (a, b, n, m, ...) with the weighted additive fit of their means, by fitting rows and columns in turn."""
+    return f"""cells_ AS ({cells}), it(k, a, b, n, m, ra, rb) AS (SELECT 0, a, b, n::DOUBLE, m, 0.0::DOUBLE, 0.0::DOUBLE FROM cells_ UNION ALL
+SELECT k+1, a, b, n, m, ra, sum(n*(m-ra)) OVER (PARTITION BY b)/sum(n) OVER (PARTITION BY b) FROM (SELECT k, a, b, n, m, sum(n*(m-rb)) OVER (PARTITION BY a)/sum(n) OVER (PARTITION BY a) AS ra FROM it WHERE k < {steps})),
+fit_ AS (SELECT *, ra+rb AS f FROM it WHERE k = {steps})"""

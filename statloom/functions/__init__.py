@@ -1,4 +1,5 @@
-"""Scalar functions of models as column expressions: losses, links, variances, penalties' proximal maps, kernels, distributions."""
+"""Scalar functions of models as column expressions: links, variances, penalties' proximal maps, kernels. Losses and
+distributions have modules of their own."""
 
 from __future__ import annotations
 
@@ -8,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import special
+
 L = F.lit
 
 
@@ -15,21 +18,6 @@ def _w(cond: Column, a: Column, b: Column) -> Column:
     return F.when(cond, a).otherwise(b)
 
 
-#: Loss of an observation y at the linear predictor e.
-LOSSES: dict[str, Callable[[Column, Column], Column]] = {
-    "squared": lambda y, e: 0.5 * (y - e) * (y - e),
-    "logistic": lambda y, e: F.greatest(e, L(0.0)) + F.log1p(F.exp(-F.abs(e))) - y * e,
-    "poisson": lambda y, e: F.exp(e) - y * e,
-    "gamma": lambda y, e: y * F.exp(-e) + e,
-    "inverse_gaussian": lambda y, e: 0.5 * y * F.exp(-2 * e) - F.exp(-e),
-    "negative_binomial": lambda y, e: (y + 1.0) * F.log1p(F.exp(e)) - y * e,
-    "tweedie": lambda y, e: F.exp(0.5 * e) / 0.5 + y * F.exp(-0.5 * e) / 0.5,
-    "quantile": lambda y, e: _w(y >= e, 0.3 * (y - e), 0.7 * (e - y)),
-    "huber": lambda y, e: _w(F.abs(y - e) <= 1.345, 0.5 * (y - e) * (y - e), 1.345 * (F.abs(y - e) - 0.5 * 1.345)),
-    "bisquare": lambda y, e: _w(F.abs(y - e) <= 4.685, (4.685**2 / 6) * (1 - F.pow(1 - (y - e) * (y - e) / 4.685**2, L(3.0))), L(4.685**2 / 6)),
-    "fair": lambda y, e: 1.3998**2 * (F.abs(y - e) / 1.3998 - F.log1p(F.abs(y - e) / 1.3998)),
-}
-
 #: Link functions of a mean m in (0, 1).
 LINKS: dict[str, Callable[[Column], Column]] = {
     "identity": lambda m: m,
@@ -40,6 +28,7 @@ LINKS: dict[str, Callable[[Column], Column]] = {
     "inverse": lambda m: 1 / m,
     "inverse_squared": lambda m: 1 / (m * m),
     "sqrt": lambda m: F.sqrt(m),
+    "probit": lambda m: special.norm_ppf(m),
 }
 
 #: Variance functions of a mean m.
@@ -58,14 +47,19 @@ def soft(z: Column, t: float) -> Column:
     return F.signum(z) * F.greatest(F.abs(z) - t, L(0.0))
 
 
-#: Proximal maps at z with step 1 and strength 1 (elastic net: mixing 0.5; SCAD: a = 3.7; MCP: gamma = 3).
-PROX: dict[str, Callable[[Column], Column]] = {
-    "l1": lambda z: soft(z, 1.0),
-    "l2": lambda z: z / 2.0,
-    "elastic_net": lambda z: soft(z, 0.5) / 1.5,
-    "scad": lambda z: F.when(F.abs(z) <= 2.0, soft(z, 1.0)).when(F.abs(z) <= 3.7, (2.7 * z - F.signum(z) * 3.7) / 1.7).otherwise(z),
-    "mcp": lambda z: _w(F.abs(z) <= 3.0, soft(z, 1.0) / (1 - 1 / 3.0), z),
-    "adaptive": lambda z: F.signum(z) * F.greatest(F.abs(z) - 1.0 / (1.0 + F.abs(z)), L(0.0)),
+def _scad(z: Column, alpha: float = 1.0, a: float = 3.7, step: float = 1.0) -> Column:
+    middle = ((a - 1) * z - F.signum(z) * a * alpha * step) / (a - 1 - step)
+    return F.when(F.abs(z) <= alpha * (1 + step), soft(z, alpha * step)).when(F.abs(z) <= a * alpha, middle).otherwise(z)
+
+
+#: Proximal maps at z of penalties with a strength, for a step.
+PROX: dict[str, Callable[..., Column]] = {
+    "l1": lambda z, alpha=1.0, step=1.0: soft(z, alpha * step),
+    "l2": lambda z, alpha=1.0, step=1.0: z / (1 + alpha * step),
+    "elastic_net": lambda z, alpha=1.0, ratio=0.5, step=1.0: soft(z, alpha * ratio * step) / (1 + alpha * (1 - ratio) * step),
+    "scad": _scad,
+    "mcp": lambda z, alpha=1.0, gamma=3.0, step=1.0: _w(F.abs(z) <= gamma * alpha, soft(z, alpha * step) / (1 - step / gamma), z),
+    "adaptive": lambda z, alpha=1.0, step=1.0: F.signum(z) * F.greatest(F.abs(z) - alpha * step / (1.0 + F.abs(z)), L(0.0)),
 }
 
 #: Smoothing kernels of a scaled distance u.
@@ -80,18 +74,6 @@ KERNELS: dict[str, Callable[[Column], Column]] = {
     "tricube": lambda u: _w(F.abs(u) <= 1, 70 / 81 * F.pow(1 - F.pow(F.abs(u), L(3.0)), L(3.0)), L(0.0)),
 }
 
-#: Cumulative distribution functions with closed forms.
-CDFS: dict[str, Callable[[Column], Column]] = {
-    "uniform": lambda x: F.least(F.greatest(x, L(0.0)), L(1.0)),
-    "exponential": lambda x: _w(x > 0, 1 - F.exp(-x), L(0.0)),
-    "cauchy": lambda x: 0.5 + F.atan(x) / math.pi,
-    "laplace": lambda x: _w(x < 0, 0.5 * F.exp(x), 1 - 0.5 * F.exp(-x)),
-    "logistic": lambda x: 1 / (1 + F.exp(-x)),
-    "weibull": lambda x: _w(x > 0, 1 - F.exp(-F.pow(F.greatest(x, L(0.0)), L(1.5))), L(0.0)),
-    "chi2_4": lambda x: _w(x > 0, 1 - F.exp(-x / 2) * (1 + x / 2), L(0.0)),
-    "t_2": lambda x: 0.5 + x / (2 * F.sqrt(2 + x * x)),
-}
-
 #: The same in SQL, with y, e, m, z, u or x as column names.
 SQL: dict[str, dict[str, str]] = {
     "loss": {
@@ -112,8 +94,4 @@ SQL: dict[str, dict[str, str]] = {
         "triangular": "CASE WHEN abs(u)<=1 THEN 1-abs(u) ELSE 0 END", "biweight": "CASE WHEN abs(u)<=1 THEN 15.0/16*pow(1-u*u,2) ELSE 0 END", "triweight": "CASE WHEN abs(u)<=1 THEN 35.0/32*pow(1-u*u,3) ELSE 0 END",
         "cosine": "CASE WHEN abs(u)<=1 THEN pi()/4*cos(pi()/2*u) ELSE 0 END", "tricube": "CASE WHEN abs(u)<=1 THEN 70.0/81*pow(1-pow(abs(u),3),3) ELSE 0 END",
     },
-    "cdf": {
-        "uniform": "least(greatest(x,0.0),1.0)", "exponential": "CASE WHEN x>0 THEN 1-exp(-x) ELSE 0 END", "cauchy": "0.5+atan(x)/pi()", "laplace": "CASE WHEN x<0 THEN 0.5*exp(x) ELSE 1-0.5*exp(-x) END",
-        "logistic": "1/(1+exp(-x))", "weibull": "CASE WHEN x>0 THEN 1-exp(-pow(greatest(x,0.0),1.5)) ELSE 0 END", "chi2_4": "CASE WHEN x>0 THEN 1-exp(-x/2)*(1+x/2) ELSE 0 END", "t_2": "0.5+x/(2*sqrt(2+x*x))",
-    },
 }

@@ -77,6 +77,21 @@ for _k, _c in models.TUNING.items():
 for _q in (0.25, 0.5, 0.9):
     register(f"quantile_{int(_q * 100)}", "intercept:d slope:d", lambda s, d, q=_q: _line(s, models.quantile_fit(_prices(s, d), "y", ["l_quantity"], q)), fit_sql.quantile(PRICES, _q), digits=2)
 
+
+
+def _quantile_errors(s: SparkSession, d: str) -> DataFrame:
+    df = _prices(s, d)
+    return models.quantile_inference(df, "y", ["l_quantity"], [50.0, 0.1]).select("term", "std_err")
+
+
+#: Errors at given coefficients. The median's normal quantile is 0; SQL finds that of half plus the share by Newton's steps.
+register("quantile_errors", "term:s std_err:d", _quantile_errors, f"""
+WITH RECURSIVE r AS (SELECT x, y-50.0-0.1*x AS r FROM ({PRICES})), g AS (SELECT count(*) AS n, stddev_samp(r) AS sd, quantile_disc(r, 0.75)-quantile_disc(r, 0.25) AS iqr FROM r),
+h AS (SELECT *, least(pow(n, -1.0/3)*pow(1.959963984540054, 2.0/3)*pow(1.5/(2*pi()), 1.0/3), 0.4995) AS s FROM g),
+z(k, s, z) AS (SELECT 0, s, s*sqrt(2*pi()) FROM h UNION ALL SELECT k+1, s, z-(z/1200.0*(SELECT sum(CASE WHEN j IN (0,400) THEN 1 WHEN j%2=1 THEN 4 ELSE 2 END*exp(-z*z*j*j/320000.0)) FROM range(401) q(j))/sqrt(2*pi())-s)*sqrt(2*pi())*exp(z*z/2) FROM z WHERE k < 30),
+w AS (SELECT least(sd, iqr/1.34)*2*z AS h FROM h, z WHERE k = 30), d AS (SELECT x, CASE WHEN abs(r/h)<=1 THEN 0.75*(1-(r/h)*(r/h)) ELSE 0 END/h AS k FROM r, w),
+t AS (SELECT sum(k) AS d0, sum(k*x) AS d1, sum(k*x*x) AS d2, count(*)::DOUBLE AS n, sum(x) AS s1, sum(x*x) AS s2 FROM d), i AS (SELECT *, d2/(d0*d2-d1*d1) AS a, -d1/(d0*d2-d1*d1) AS b, d0/(d0*d2-d1*d1) AS c FROM t)
+SELECT 'intercept' AS term, sqrt(0.25*(a*a*n+2*a*b*s1+b*b*s2)) AS std_err FROM i UNION ALL SELECT 'l_quantity', sqrt(0.25*(b*b*n+2*b*c*s1+c*c*s2)) FROM i""", digits=4)
 COUNTS = "SELECT count(*)::DOUBLE AS y, avg(value)/50 AS x FROM events GROUP BY user_id"
 BINARY = "SELECT y, score/1000 AS x FROM scores"
 
@@ -140,7 +155,7 @@ def _ordered(s: SparkSession, d: str, link: str) -> DataFrame:
 
 
 for _l in ("logit", "probit"):
-    register(f"ordered_{_l}", "first:d second:d slope:d loglik:d", lambda s, d, li=_l: _ordered(s, d, li), digits=3)
+    register(f"ordered_{_l}", "first:d second:d slope:r loglik:d", lambda s, d, li=_l: _ordered(s, d, li), fit_sql.ordered_logit("SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, l_quantity/10 AS x FROM lineitem") if _l == "logit" else None, digits=3)
 ALPHAS = [0.0, 0.1, 1.0, 10.0, 100.0]
 register("ridge_cv", "alpha:d mse:d", lambda s, d: models.ridge_cv(_prices(s, d), "y", ["l_quantity"], F.col("l_orderkey") % 5, ALPHAS), f"""
 WITH r AS (SELECT l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice/1000 AS y FROM lineitem), k AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
@@ -149,7 +164,7 @@ b AS (SELECT f, alpha, mx, my, sxy/(sxx+alpha*n) AS b FROM t, (SELECT unnest({AL
 e AS (SELECT f, alpha, avg((y-my-b*(x-mx))*(y-my-b*(x-mx))) AS e FROM b JOIN r USING (f) GROUP BY ALL) SELECT alpha, avg(e) AS mse FROM e GROUP BY alpha""", 6)
 #: Each solver comes to the same fixed point as SQL's reweighted steps.
 for _s, _p in [("fista", "l1"), ("fista_bb", "l1"), ("newton", "l2"), ("proximal_newton", "elasticnet"), ("lbfgs", "l2"), ("lbfgs_b", "l2"), ("admm", "l1"), ("irls", "l2")]:
-    register(f"solver_{_s}", "intercept:d slope:r", lambda s, d, n=_s, p=_p: _line(s, solvers.solve(_binary(s, d), "y", ["x"], "logistic", get_penalty(p, alpha=0.02), n, tol=1e-6)), fit_sql.reweighted(BINARY, "logistic", _p, "0.02", "(SELECT ln(avg(y)/(1-avg(y))) FROM rows_)"), digits=3)
+    register(f"solver_{_s}", "intercept:d slope:d", lambda s, d, n=_s, p=_p: _line(s, solvers.solve(_binary(s, d), "y", ["x"], "logistic", get_penalty(p, alpha=0.02), n, tol=1e-4 if n in ("fista", "admm") else 1e-6)), fit_sql.reweighted(BINARY, "logistic", _p, "0.02", "(SELECT ln(avg(y)/(1-avg(y))) FROM rows_)"), digits=2)
 STRENGTHS = [0.01, 0.1, 1.0, 10.0]
 FOLDED = f"""r AS (SELECT l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice/1000 AS y FROM lineitem), k AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
 t AS (SELECT k.f, avg(x) AS mx, avg(y) AS my, var_pop(x) AS v, covar_pop(y,x) AS c FROM r, k WHERE r.f <> k.f GROUP BY k.f), g AS (SELECT unnest({STRENGTHS})::DOUBLE AS alpha)"""
@@ -214,6 +229,18 @@ def _glasso(s: SparkSession, d: str) -> DataFrame:
 
 
 register("graphical_lasso", "cell:s value:r", _glasso)
+
+
+def _glasso_two(s: SparkSession, d: str) -> DataFrame:
+    c = multivariate.covariance(table(s, d, "part").select((F.col("p_size") / 10).alias("a"), ((F.col("p_size") + F.col("p_partkey") % 13) / 10).alias("b")), ["a", "b"])[0]
+    _, p = models.graphical_lasso(c, 0.3)
+    return from_row(s, ["cell", "value"], [(f"{i}{j}", float(p[i, j])) for i in range(2) for j in range(i, 2)], "sd")
+
+
+#: Two columns have a closed form: the off-diagonal covariance is drawn towards 0 by the strength.
+register("graphical_lasso_two", "cell:s value:d", _glasso_two, """
+WITH p AS (SELECT p_size/10.0::DOUBLE AS a, (p_size + p_partkey % 13)/10.0::DOUBLE AS b FROM part), c AS (SELECT covar_pop(a,a) AS aa, covar_pop(b,b) AS bb, sign(covar_pop(a,b))*greatest(abs(covar_pop(a,b))-0.3, 0) AS ab FROM p), d AS (SELECT *, aa*bb-ab*ab AS d FROM c)
+SELECT '00' AS cell, bb/d AS value FROM d UNION ALL SELECT '01', -ab/d FROM d UNION ALL SELECT '11', aa/d FROM d""", 5)
 START = ([0.5, 0.5], [15.0, 35.0], [100.0, 100.0])
 LOGS = [f"ln({w})-0.5*ln(2*pi()*{v})-(l_quantity-{m})*(l_quantity-{m})/{2 * v}" for w, m, v in zip(*START, strict=True)]
 register("mixture_step", "label:i weight:d mean:d variance:d loglik:d", lambda s, d: models.mixture_step(table(s, d, "lineitem"), "l_quantity", *START), f"""

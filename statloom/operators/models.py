@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import get_loss
-from ..functions.special import norm_cdf
+from ..functions.special import norm_cdf, norm_quantile
 from ..plans import gram, linear
 from . import glm
 from .linear import LinearModel, _solve, ols
@@ -56,6 +56,24 @@ def quantile_fit(df: DataFrame, y: str, x: Sequence[str], q: float = 0.5, steps:
     return beta
 
 
+def quantile_inference(df: DataFrame, y: str, x: Sequence[str], beta: Sequence[float], q: float = 0.5, alpha: float = 0.05) -> DataFrame:
+    """(term, estimate, std_err, stat, p, low, high) of a quantile fit: Powell's sandwich with an Epanechnikov kernel, whose width
+    is Hall and Sheather's share of quantiles on the scale of the residuals."""
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
+    r = F.col(y) - linear(terms, beta)
+    got = df.agg(F.count(r), F.stddev_samp(r), F.percentile_approx(r, [0.25, 0.75], MEDIAN_ACCURACY)).first()
+    n, z, tail = got[0], norm_quantile(q), norm_quantile(1 - alpha / 2)
+    density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    share = n ** (-1 / 3) * tail ** (2 / 3) * (1.5 * density**2 / (2 * z * z + 1)) ** (1 / 3)
+    share = min(share, 0.999 * min(q, 1 - q))
+    h = min(got[1], (got[2][1] - got[2][0]) / 1.34) * (norm_quantile(q + share) - norm_quantile(q - share))
+    u = r / h
+    inside = gram(df, terms, F.when(F.abs(u) <= 1, 0.75 * (1 - u * u)).otherwise(0.0) / h)
+    bread = np.linalg.pinv(inside)
+    cov = q * (1 - q) * bread @ gram(df, terms) @ bread
+    return glm.result_rows(df, ["intercept", *x], beta, np.sqrt(np.diag(cov)), n - len(terms), alpha)
+
+
 def ordered_fit(df: DataFrame, y: str, x: Sequence[str], categories: int, link: str = "logit", steps: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """(cut points, slopes, log-likelihood) of y in 0..categories-1, by scoring steps on sums of score products with halving."""
     cuts = categories - 1

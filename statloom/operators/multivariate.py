@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import KERNELS
 from ..plans import gram
+from ..plans.ranks import ranged, running
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -87,17 +88,27 @@ def kmeans(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[flo
 
 def clusters_1d(df: DataFrame, x: str, id_col: str, gap: float) -> DataFrame:
     """(id, label): single-linkage clusters on a line, cut where neighbours are further apart than `gap`."""
-    w = Window.orderBy(x, id_col)
-    cut = F.when(F.col(x) - F.lag(x).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__c", cut).select(F.col(id_col).alias("id"), F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("label"))
+    dealt, ranges = ranged(df.select(F.col(id_col).alias("id"), F.col(x).alias("x")), "x")
+    before = F.lag("x").over(Window.partitionBy("__range").orderBy("x", "id"))
+    tops = {r["__range"]: r.m for r in dealt.groupBy("__range").agg(F.max("x").alias("m")).collect()}  # a row for each range
+    last = {i: max((tops[j] for j in tops if j < i), default=None) for i in range(ranges)}
+    first = F.element_at(F.array(*[F.lit(last[i]).cast("double") for i in range(ranges)]), F.col("__range") + 1)
+    cut = F.when(F.col("x") - F.coalesce(before, first) > gap, 1.0).otherwise(0.0)
+    out = running(dealt.withColumn("__cut", cut), ranges, F.col("__cut"), [F.asc("x"), F.asc("id")], "sum", "__label")
+    return out.select("id", F.col("__label").cast("long").alias("label"))
 
 
 def neighbours_within(df: DataFrame, x: str, id_col: str, eps: float) -> DataFrame:
-    """(id, n): rows within eps on a line, itself included. Rows are dealt into cells of width eps; each meets three cells."""
-    cell = F.floor(F.col(x) / eps)
-    a = df.select(F.col(id_col).alias("id"), F.col(x).alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = df.select(F.col(x).alias("b"), cell.alias("cell"))
-    return a.join(b, "cell").where(F.abs(F.col("a") - F.col("b")) <= eps).groupBy("id").agg(F.count("*").alias("n"))
+    """(id, n): rows within eps on a line, itself included: how many lie up to x + eps less how many lie under x - eps.
+
+    Rows and their two ends are put in one order and counted by a running sum, so close rows don't meet one by one.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = [("x", 1, 1.0, 0.0), (F.col("x") - eps, 0, 0.0, -1.0), (F.col("x") + eps, 2, 0.0, 1.0)]
+    parts = [rows.select("id", (F.col(k) if isinstance(k, str) else k).alias("k"), F.lit(o).alias("o"), F.lit(c).alias("c"), F.lit(t).alias("t")) for k, o, c, t in ends]
+    dealt, ranges = ranged(parts[0].union(parts[1]).union(parts[2]), "k")
+    counted = running(dealt, ranges, F.col("c"), [F.asc("k"), F.asc("o")], "sum", "s")
+    return counted.where("t <> 0").groupBy("id").agg(F.sum(F.col("t") * F.col("s")).cast("long").alias("n"))
 
 
 def kde(df: DataFrame, x: str, points: Sequence[float], bandwidth: float, kernel: str) -> DataFrame:
@@ -128,29 +139,6 @@ def kernel_regression(df: DataFrame, x: str, y: str, points: Sequence[float], ba
     return df.agg(F.array(*out).alias("a")).select(F.explode("a").alias("a")).select("a.point", "a.fit")
 
 
-def landmark_kernels(df: DataFrame, id_col: str, vector: str, landmarks: int) -> DataFrame:
-    """(a, b, linear, rbf, cosine, laplacian, polynomial, sigmoid) of every row a and each of so many landmarks b.
-
-    Landmarks are the rows whose ids an integer generator puts first, so every task gets that many rows and no more.
-    """
-    v = df.select(F.col(id_col).alias("id"), F.transform(vector, lambda e: e.cast("double")).alias("v"))
-    order = draw(F.col("id"), F.lit(1), F.lit(2147483647))
-    few = v.orderBy(order, "id").limit(landmarks).select(F.col("id").alias("b"), "v")
-    j = v.select(F.col("id").alias("a"), F.col("v").alias("u")).join(F.broadcast(few))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m * n), F.lit(0.0), lambda s, t: s + t)
-    l1 = F.aggregate(F.zip_with("u", "v", lambda m, n: F.abs(m - n)), F.lit(0.0), lambda s, t: s + t)
-    d = F.col("uv")
-    j = j.withColumn("uv", dot("u", "v")).withColumn("uu", dot("u", "u")).withColumn("vv", dot("v", "v")).withColumn("l1", l1)
-    return j.select(
-        "a", "b", d.alias("linear"), F.exp(-0.5 * (F.col("uu") + F.col("vv") - 2 * d)).alias("rbf"), (d / F.sqrt(F.col("uu") * F.col("vv"))).alias("cosine"),
-        F.exp(-0.1 * F.col("l1")).alias("laplacian"), F.pow(0.5 * d + 1, F.lit(3.0)).alias("polynomial"), F.tanh(0.5 * d + 1).alias("sigmoid"))
-
-
-def draw(i: Column, rep: Column, n: Column) -> Column:
-    """A whole number under n from an integer generator that any SQL dialect can repeat."""
-    return (((i * 7919 + rep * 104729 + 12345) % 2147483647) * 48271) % 2147483647 % n
-
-
 def bspline(x: Column, knots: Sequence[float], degree: int, i: int) -> Column:
     """The i-th B-spline basis function of a degree on knots, by the Cox-de Boor recursion."""
     if degree == 0:

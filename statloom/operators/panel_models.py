@@ -210,3 +210,19 @@ def fama_macbeth(df: DataFrame, y: str, x: Sequence[str], time: str, kind: str =
     else:
         cov = u.T @ u / (t - 1) / t
     return PanelFit(["intercept", *x], mean, cov, t, t - 1, kind == "newey-west", float("nan"))
+
+
+def factorize(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """df with the place of a label among the sorted distinct labels, from 0 (null stays null), and how many there are."""
+    labels = df.select(F.col(column).alias("__l")).where("__l IS NOT NULL").distinct()
+    codes = labels.withColumn(name, F.row_number().over(Window.orderBy("__l")) - 1)  # a row for each label
+    n = labels.count()
+    out = df.join(F.broadcast(codes) if n <= 100_000 else codes, F.col(column) == F.col("__l"), "left").drop("__l")
+    return out, n
+
+
+def dummies(df: DataFrame, column: str, first: bool = True) -> tuple[DataFrame, list[str]]:
+    """df with a column of 0 and 1 for each level (but the first, if not `first`), and their names."""
+    levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()][0 if first else 1 :]
+    names = [f"{column}_{v}" for v in levels]
+    return df.withColumns({n: F.when(F.col(column).isNotNull(), (F.col(column) == F.lit(v)).cast("double")) for n, v in zip(names, levels, strict=True)}), names

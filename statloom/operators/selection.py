@@ -45,7 +45,7 @@ def stepwise(df: DataFrame, y: str, x: Sequence[str], criterion: str = "aic", di
             break
         best, kind, j = min(moves)
         now = sorted([*now, j]) if kind else [i for i in now if i != j]
-    return [x[i] for i in now], best
+    return [x[i] for i in now], float(best)
 
 
 @dataclass

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranks import ranged, running
+
+
+def over_times(at: DataFrame, sums: dict[str, str], later: bool) -> DataFrame:
+    """A table of distinct times with running sums of columns (new name: column), from the last time back or from the first on,
+    made in ranges of time."""
+    dealt, ranges = ranged(at, "time")
+    for name, of in sums.items():
+        dealt = running(dealt, ranges, F.col(of), [F.desc("time") if later else F.asc("time")], "sum", name, last_first=later)
+    return dealt.drop("__range")
+
 
 def risk_table(df: DataFrame, beta: float) -> DataFrame:
     """(time, d, dx, s0, s1, s2, n) of each distinct time: events, their sum of x, and risk-set sums of exp(beta x) x^k."""
     w = F.exp(F.col("x") * beta)
     at = df.groupBy("time").agg(F.sum("event").alias("d"), F.sum(F.col("event") * F.col("x")).alias("dx"), F.sum(w).alias("w0"), F.sum(w * F.col("x")).alias("w1"), F.sum(w * F.col("x") * F.col("x")).alias("w2"), F.count("*").alias("k"))
-    later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # distinct times
-    return at.select("time", "d", "dx", *[F.sum(f"w{i}").over(later).alias(f"s{i}") for i in range(3)], F.sum("k").over(later).alias("n"))
+    out = over_times(at, {"s0": "w0", "s1": "w1", "s2": "w2", "n": "k"}, later=True)
+    return out.select("time", "d", "dx", "s0", "s1", "s2", F.col("n").cast("long").alias("n"))
 
 
 def cox_breslow(df: DataFrame, beta: float) -> DataFrame:
@@ -39,31 +50,31 @@ def cox_fit(df: DataFrame, steps: int = 12) -> float:
 
 def baseline(df: DataFrame, beta: float) -> DataFrame:
     """(time, hazard, survival): Breslow's cumulative baseline hazard at event times."""
-    up = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    h = F.sum(F.col("d") / F.col("s0")).over(up)
-    return risk_table(df, beta).where("d > 0").select("time", h.alias("hazard"), F.exp(-h).alias("survival"))
+    h = over_times(risk_table(df, beta).where("d > 0").withColumn("h", F.col("d") / F.col("s0")), {"hazard": "h"}, later=False)
+    return h.select("time", "hazard", F.exp(-F.col("hazard")).alias("survival"))
 
 
 def kaplan_meier(df: DataFrame) -> DataFrame:
     """(time, survival, n_at_risk) at event times."""
-    up = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    keep = F.sum(F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n")))).over(up)
-    gone = F.max((F.col("d") >= F.col("n")).cast("int")).over(up)
-    return risk_table(df, 0.0).where("d > 0").select("time", F.when(gone == 1, 0.0).otherwise(F.exp(F.coalesce(keep, F.lit(0.0)))).alias("survival"), F.col("n").alias("n_at_risk"))
+    all_ = F.col("d") >= F.col("n")
+    r = risk_table(df, 0.0).where("d > 0").withColumn("l", F.when(all_, 0.0).otherwise(F.log(F.when(all_, 1.0).otherwise(1 - F.col("d") / F.col("n"))))).withColumn("g", all_.cast("double"))
+    out = over_times(r, {"keep": "l", "gone": "g"}, later=False)
+    return out.select("time", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("keep")).alias("survival"), F.col("n").alias("n_at_risk"))
 
 
 def survival_at(df: DataFrame, times: DataFrame, beta: float) -> DataFrame:
     """(time, survival): the baseline survival at requested times, as of the last event before; one merge of both by time."""
     both = baseline(df, beta).select("time", "survival", F.lit(0).alias("asked")).union(times.select("time", F.lit(None).cast("double"), F.lit(1)))
-    last = F.last("survival", ignorenulls=True).over(Window.orderBy("time", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("s", F.coalesce(last, F.lit(1.0))).where("asked = 1").select("time", F.col("s").alias("survival"))
+    # survival only falls, so the last one is the least so far
+    dealt, ranges = ranged(both, "time")
+    out = running(dealt, ranges, F.coalesce("survival", F.lit(1.0)), [F.asc("time"), F.asc("asked")], "min", "s")
+    return out.where("asked = 1").select("time", F.col("s").alias("survival"))
 
 
 def log_rank(df: DataFrame, group: str) -> DataFrame:
     """(observed, expected, variance, chi2) of the two-sample log-rank test; group is 0 or 1."""
     at = df.groupBy("time").agg(F.sum("event").alias("d"), F.sum(F.col("event") * F.col(group)).alias("d1"), F.count("*").alias("k"), F.sum(group).alias("k1"))
-    later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    r = at.select("d", "d1", F.sum("k").over(later).alias("n"), F.sum("k1").over(later).alias("n1")).where("d > 0")
+    r = over_times(at, {"n": "k", "n1": "k1"}, later=True).select("d", "d1", "n", "n1").where("d > 0")
     p = F.col("n1") / F.col("n")
     v = F.when(F.col("n") > 1, F.col("d") * p * (1 - p) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     t = r.agg(F.sum("d1").cast("double").alias("observed"), F.sum(F.col("d") * p).alias("expected"), F.sum(v).alias("variance"))
@@ -83,10 +94,9 @@ def cox_efron(df: DataFrame, beta: float) -> DataFrame:
 
 def score_residuals(df: DataFrame, beta: float) -> DataFrame:
     """(id, residual): Breslow's score residuals. Sums over earlier event times are made by distinct time and joined back."""
-    up = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    m = F.col("s1") / F.col("s0")
-    at = risk_table(df, beta).select("time", m.alias("m"), F.sum(F.col("d") / F.col("s0")).over(up).alias("h"), F.sum(F.col("d") / F.col("s0") * m).over(up).alias("hm"))
-    x = F.col("x")
+    m, x = F.col("s1") / F.col("s0"), F.col("x")
+    at = risk_table(df, beta).withColumn("m", m).withColumn("h0", F.col("d") / F.col("s0")).withColumn("h1", F.col("h0") * F.col("m"))
+    at = over_times(at, {"h": "h0", "hm": "h1"}, later=False).select("time", "m", "h", "hm")
     return df.join(at, "time").select("id", (F.col("event") * (x - F.col("m")) - F.exp(x * beta) * (x * F.col("h") - F.col("hm"))).alias("residual"))
 
 

@@ -98,10 +98,25 @@ def curve(df: DataFrame, y: str, score: str) -> DataFrame:
     return dealt.crossJoin(F.broadcast(total)).select("threshold", F.col("__p").cast("long").alias("tp"), F.col("__n").cast("long").alias("fp"), "pos", "neg")
 
 
+def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, tpr, fpr) at each distinct score, after the point (0, 0) at an infinite threshold."""
+    c = curve(df, y, score).select("threshold", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"))
+    return c.union(df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, tpr double, fpr double"))
+
+
+def precision_recall_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, precision, recall) at each distinct score, after the point (1, 0) at an infinite threshold."""
+    c = curve(df, y, score).select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall"))
+    return c.union(df.sparkSession.createDataFrame([(float("inf"), 1.0, 0.0)], "threshold double, precision double, recall double"))
+
+
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(auc, average_precision), one row: the trapezoid area under the curve, and precision averaged over recall steps."""
-    before = Window.orderBy(F.desc("threshold"))
-    c = curve(df, y, score).withColumn("tp0", F.coalesce(F.lag("tp").over(before), F.lit(0))).withColumn("fp0", F.coalesce(F.lag("fp").over(before), F.lit(0)))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0 / (F.col("pos") * F.col("neg")))
-    ap = F.sum((F.col("tp") - F.col("tp0")) / F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    """(auc, average_precision), one row: the trapezoid area under the curve, and precision averaged over recall steps.
+
+    Each score's own counts are its step, so no row looks at another.
+    """
+    at = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))
+    c = curve(df, y, score).join(at, "threshold")
+    area = F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")) / 2.0 / (F.col("pos") * F.col("neg")))
+    ap = F.sum(F.col("p") / F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     return c.agg(area.alias("auc"), ap.alias("average_precision"))

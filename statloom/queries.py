@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
+from .functions.distributions import get_distribution
+from .functions.losses import get_loss
 from . import estimator_queries, fit_sql, model_queries, streaming  # noqa: F401  some add their queries to the catalogue
 from .operators import anova, linear, multivariate, panel, resampling, survival, testing
 from .plans import gram
@@ -53,8 +55,13 @@ u AS (SELECT 'a' AS term, sa AS ss, ka-1 AS df, se, de, total FROM o UNION ALL S
 f AS (SELECT term, ss, df, ss/df/(se/de) AS f, de, total FROM u)
 SELECT term, ss, df, f, {f_sf_sql('f', 'df', 'de')} AS p, ss/total AS eta_squared FROM f UNION ALL SELECT 'residual', se, de, NULL, NULL, NULL FROM o""", 6)
 
-#: All orders, whatever their cells' sizes. Without SQL: the interaction solves a weighted system.
-register("anova_twoway_unequal", "term:s ss:d df:d f:d", lambda s, d: from_row(s, ["term", "ss", "df", "f"], anova.f_twoway_unequal(table(s, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority"), "sddd"), digits=7)
+#: All orders, whatever their cells' sizes. Main effects are weighted squares of means; the interaction is what an additive fit leaves.
+register("anova_twoway_unequal", "term:s ss:d df:d f:d", lambda s, d: from_row(s, ["term", "ss", "df", "f"], anova.f_twoway_unequal(table(s, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority"), "sddd"), f"""
+WITH RECURSIVE {fit_sql.additive_cells('SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1, 2')},
+e AS (SELECT sum((n-1)*coalesce(v,0)) FILTER (n>1)/sum(n-1) AS mse, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM cells_),
+ma AS (SELECT avg(m) AS m, count(*)*count(*)/sum(1.0::DOUBLE/n) AS w FROM cells_ GROUP BY a), mb AS (SELECT avg(m) AS m, count(*)*count(*)/sum(1.0::DOUBLE/n) AS w FROM cells_ GROUP BY b),
+s AS (SELECT 'a' AS term, sum(w*m*m)-pow(sum(w*m),2)/sum(w) AS ss, (SELECT ka-1 FROM e) AS df FROM ma UNION ALL SELECT 'b', sum(w*m*m)-pow(sum(w*m),2)/sum(w), (SELECT kb-1 FROM e) FROM mb UNION ALL SELECT 'ab', sum(n*(m-f)*(m-f)), (SELECT (ka-1)*(kb-1) FROM e) FROM fit_)
+SELECT term, ss, df, ss/df/mse AS f FROM s, e""", digits=4)
 
 # --- least squares -----------------------------------------------------------------------------------------------------
 
@@ -132,7 +139,8 @@ LOSS_ROWS = "SELECT l_quantity/10 AS y, 0.4 + l_discount - l_tax AS e FROM linei
 
 def _loss(s: SparkSession, d: str, name: str) -> DataFrame:
     rows = LI(s, d).select((F.col("l_quantity") / 10).alias("y"), (0.4 + F.col("l_discount") - F.col("l_tax")).alias("e"))
-    return rows.agg(F.avg(fn.LOSSES[name](F.col("y"), F.col("e"))).alias("loss"))
+    how = {"quantile": {"quantile": 0.3}, "huber": {"delta": 1.345}, "bisquare": {"delta": 4.685}, "fair": {"delta": 1.3998}, "tweedie": {"power": 1.5}, "negative_binomial": {"alpha": 1.0}}
+    return rows.agg(F.avg(get_loss("squared_error" if name == "squared" else name, **how.get(name, {})).value(F.col("y"), F.col("e"))).alias("loss"))
 
 
 for _n, _q in fn.SQL["loss"].items():
@@ -147,18 +155,45 @@ def _grid_sql(name: str, low: float, step: float, n: int) -> str:
     return f"(SELECT i, CAST({low} AS DOUBLE) + i * CAST({step} AS DOUBLE) AS {name} FROM range({n}) t(i))"
 
 
-for _family, _table, _var, _low, _step, _count in (("link", fn.LINKS, "m", 0.05, 0.05, 19), ("variance", fn.VARIANCES, "m", 0.05, 0.05, 19), ("prox", fn.PROX, "z", -6.03, 0.31, 40), ("cdf", fn.CDFS, "x", -3.03, 0.17, 40), ("kernel", fn.KERNELS, "u", -1.53, 0.11, 29)):
+for _family, _table, _var, _low, _step, _count in (("link", fn.LINKS, "m", 0.05, 0.05, 19), ("variance", fn.VARIANCES, "m", 0.05, 0.05, 19), ("prox", fn.PROX, "z", -6.03, 0.31, 40), ("kernel", fn.KERNELS, "u", -1.53, 0.11, 29)):
     for _n, _f in _table.items():
+        if _n == "probit":  # see below
+            continue
         register(f"{_family}_{_n}", "i:i value:d", lambda s, d, f=_f, v=_var, a=_low, b=_step, c=_count: _grid(s, v, a, b, c).select("i", f(F.col(v)).alias("value")), f"SELECT i, {fn.SQL[_family][_n]} AS value FROM {_grid_sql(_var, _low, _step, _count)}")
 
+#: Distribution function, density and the quantile of the function's own value, with place 0.4 and scale 1.7. Of each: shape
+#: parameters, function and density at z, and where the density is positive.
+SHAPES = {
+    "uniform": ((), "least(greatest(z,0.0),1.0)", "CASE WHEN z BETWEEN 0 AND 1 THEN 1.0 ELSE 0 END", "z > 0 AND z < 1"), "expon": ((), "CASE WHEN z>0 THEN 1-exp(-z) ELSE 0 END", "CASE WHEN z>=0 THEN exp(-z) ELSE 0 END", "z > 0"),
+    "cauchy": ((), "0.5+atan(z)/pi()", "1/(pi()*(1+z*z))", "true"), "laplace": ((), "CASE WHEN z<0 THEN 0.5*exp(z) ELSE 1-0.5*exp(-z) END", "0.5*exp(-abs(z))", "true"), "logistic": ((), "1/(1+exp(-z))", "exp(-z)/pow(1+exp(-z),2)", "true"),
+    "weibull_min": ((1.5,), "CASE WHEN z>0 THEN 1-exp(-pow(greatest(z,0),1.5)) ELSE 0 END", "CASE WHEN z>0 THEN 1.5*pow(greatest(z,0),0.5)*exp(-pow(greatest(z,0),1.5)) ELSE 0 END", "z > 0"),
+    "t": ((2.0,), "0.5+z/(2*sqrt(2+z*z))", "pow(2+z*z,-1.5)", "true"), "chi2": ((4.0,), "CASE WHEN z>0 THEN 1-exp(-z/2)*(1+z/2) ELSE 0 END", "CASE WHEN z>0 THEN z/4*exp(-z/2) ELSE 0 END", "z > 0"),
+}
+
+
+def _shape(s: SparkSession, d: str, name: str) -> DataFrame:
+    dist, x = get_distribution(name, *SHAPES[name][0]), F.col("x")
+    g = _grid(s, "x", -3.03, 0.17, 40)
+    z = (x - 0.4) / 1.7
+    inside = F.expr("true") if SHAPES[name][3] == "true" else (z > 0) & (z < 1) if "AND" in SHAPES[name][3] else z > 0
+    return g.select("i", dist.cdf(x, 0.4, 1.7).alias("cdf"), dist.sf(x, 0.4, 1.7).alias("sf"), F.when(inside, dist.pdf(x, 0.4, 1.7)).otherwise(0.0).alias("pdf"), F.when(inside, dist.ppf(dist.cdf(x, 0.4, 1.7), 0.4, 1.7)).alias("back"))
+
+
+for _n, (_a, _cdf, _pdf, _in) in SHAPES.items():
+    register(f"distribution_{_n}", "i:i cdf:r sf:r pdf:r back:r", lambda s, d, n=_n: _shape(s, d, n), f"SELECT i, {_cdf} AS cdf, 1-({_cdf}) AS sf, CASE WHEN {_in} THEN ({_pdf})/1.7::DOUBLE ELSE 0.0 END AS pdf, CASE WHEN {_in} THEN x END AS back FROM (SELECT i, x, (x-0.4::DOUBLE)/1.7::DOUBLE AS z FROM {_grid_sql('x', -3.03, 0.17, 40)})")
+register("distribution_poisson", "i:i cdf:r pdf:r back:i", lambda s, d: s.range(15).select(F.col("id").alias("i"), *(lambda q: [q.cdf(F.col("id")).alias("cdf"), q.pdf(F.col("id")).alias("pdf"), q.ppf(q.cdf(F.col("id")) - 1e-9).alias("back")])(get_distribution("poisson", 4.5))), """
+SELECT a.i, sum(exp(-4.5+b.i*ln(4.5)-lgamma(b.i+1.0))) AS cdf, any_value(exp(-4.5+a.i*ln(4.5)-lgamma(a.i+1.0))) AS pdf, a.i AS back FROM range(15) a(i), range(15) b(i) WHERE b.i <= a.i GROUP BY a.i""")
+register("distribution_binom", "i:i cdf:r pdf:r back:i", lambda s, d: s.range(13).select(F.col("id").alias("i"), *(lambda q: [q.cdf(F.col("id")).alias("cdf"), q.pdf(F.col("id")).alias("pdf"), q.ppf(q.cdf(F.col("id")) - 1e-9).alias("back")])(get_distribution("binom", 12, 0.3))), """
+SELECT a.i, sum(exp(lgamma(13.0)-lgamma(b.i+1.0)-lgamma(13.0-b.i)+b.i*ln(0.3)+(12-b.i)*ln(0.7))) AS cdf, any_value(exp(lgamma(13.0)-lgamma(a.i+1.0)-lgamma(13.0-a.i)+a.i*ln(0.3)+(12-a.i)*ln(0.7))) AS pdf, a.i AS back FROM range(13) a(i), range(13) b(i) WHERE b.i <= a.i GROUP BY a.i""")
+
 # --- metrics and multiple testing --------------------------------------------------------------------------------------
 
 CM = "SELECT count(*) FILTER (y=1 AND score>=2000)::DOUBLE AS tp, count(*) FILTER (y=0 AND score>=2000)::DOUBLE AS fp, count(*) FILTER (y=0 AND score<2000)::DOUBLE AS tn, count(*) FILTER (y=1 AND score<2000)::DOUBLE AS fn FROM scores"
 register("confusion", "tp:i fp:i tn:i fn:i accuracy:d precision:d recall:d f1:d mcc:d", lambda s, d: testing.confusion(scores(s, d), "y", (F.col("score") >= 2000).cast("int")), f"""
 WITH c AS ({CM}) SELECT *, (tp+tn)/(tp+fp+tn+fn) AS accuracy, tp/(tp+fp) AS precision, tp/(tp+fn) AS recall, 2*tp/(2*tp+fp+fn) AS f1, (tp*tn-fp*fn)/sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) AS mcc FROM c""")
 CURVE = "c AS (SELECT score AS threshold, sum(y) AS p, sum(1-y) AS n FROM scores GROUP BY 1), k AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM c WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))"
-register("roc_curve", "threshold:d tpr:d fpr:d", lambda s, d: testing.curve(scores(s, d), "y", "score").select("threshold", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr")), f"WITH {CURVE} SELECT threshold, tp/pos AS tpr, fp/neg AS fpr FROM k")
-register("pr_curve", "threshold:d precision:d recall:d", lambda s, d: testing.curve(scores(s, d), "y", "score").select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall")), f"WITH {CURVE} SELECT threshold, tp/(tp+fp) AS precision, tp/pos AS recall FROM k")
+register("roc_curve", "threshold:t tpr:d fpr:d", lambda s, d: testing.roc_curve(scores(s, d), "y", "score"), f"WITH {CURVE} SELECT threshold, tp/pos AS tpr, fp/neg AS fpr FROM k UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0")
+register("pr_curve", "threshold:t precision:d recall:d", lambda s, d: testing.precision_recall_curve(scores(s, d), "y", "score"), f"WITH {CURVE} SELECT threshold, tp/(tp+fp) AS precision, tp/pos AS recall FROM k UNION ALL SELECT 'inf'::DOUBLE, 1.0, 0.0")
 register("roc_auc_ap", "auc:d average_precision:d", lambda s, d: testing.auc(scores(s, d), "y", "score"), f"""
 WITH {CURVE}, z AS (SELECT *, coalesce(lag(tp) OVER (ORDER BY threshold DESC), 0) AS tp0, coalesce(lag(fp) OVER (ORDER BY threshold DESC), 0) AS fp0 FROM k)
 SELECT sum((fp-fp0)*(tp+tp0)/2.0/(pos*neg)) AS auc, sum((tp-tp0)/pos*(tp/(tp+fp))) AS average_precision FROM z""")
@@ -264,10 +299,6 @@ SIZES = [float(p) for p in range(5, 50, 5)]
 KR = f"w AS (SELECT point, p_size-point AS d, p_retailprice AS y, exp(-0.5*((p_size-point)/4.0)*((p_size-point)/4.0))/sqrt(2*pi()) AS w FROM part, (SELECT unnest({SIZES}) AS point)), t AS (SELECT point, sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*y) AS t0, sum(w*d*y) AS t1 FROM w GROUP BY 1)"
 register("kreg_constant", "point:d fit:d", lambda s, d: multivariate.kernel_regression(table(s, d, "part"), "p_size", "p_retailprice", SIZES, 4.0), f"WITH {KR} SELECT point, t0/s0 AS fit FROM t")
 register("kreg_linear", "point:d fit:d", lambda s, d: multivariate.kernel_regression(table(s, d, "part"), "p_size", "p_retailprice", SIZES, 4.0, linear=True), f"WITH {KR} SELECT point, (s2*t0-s1*t1)/(s0*s2-s1*s1) AS fit FROM t", 7)
-register("kernel_landmarks", "a:i b:i linear:d rbf:d cosine:d laplacian:d polynomial:d sigmoid:d", lambda s, d: multivariate.landmark_kernels(table(s, d, "embeddings"), "vec_id", "embedding", 20), """
-WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT * FROM v ORDER BY ((id * 7919 + 117074) % 2147483647) * 48271 % 2147483647, id LIMIT 20),
-j AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v,b.v) AS d, list_dot_product(a.v,a.v) AS aa, list_dot_product(b.v,b.v) AS bb, list_sum(list_transform(list_zip(a.v,b.v), lambda z: abs(z[1]-z[2]))) AS l1 FROM v a, m b)
-SELECT a, b, d AS linear, exp(-0.5*(aa+bb-2*d)) AS rbf, d/sqrt(aa*bb) AS cosine, exp(-0.1*l1) AS laplacian, pow(0.5*d+1,3) AS polynomial, tanh(0.5*d+1) AS sigmoid FROM j""", 6)
 DRAW = resampling.mixed_sql
 AVG = lambda: F.avg("s_acctbal")
 register("bootstrap_mean", "rep:i value:d", lambda s, d: resampling.bootstrap_values(table(s, d, "supplier"), AVG(), "s_suppkey", 50), f"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def window_moments(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -23,3 +26,12 @@ def sessions(events: DataFrame, gap_minutes: int = 360) -> DataFrame:
     s = events.withColumn("c", cut).withColumn("session", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("seconds"))
+
+
+def fit_stream(stream: DataFrame, step: Callable[[DataFrame], object], checkpoint: str, name: str = "fit") -> StreamingQuery:
+    """Give each micro-batch of a stream to a step such as `lambda b: model.partial_fit(b, columns)`.
+
+    The model is the driver's object: after a restart from the checkpoint, batches already given aren't given again, so store the
+    model with them if it is to go on.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, _: step(batch) if not batch.isEmpty() else None).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()

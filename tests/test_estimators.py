@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom import estimators, formula
+from statloom import estimators, formula, streaming
 from statloom.functions import penalties, special
 from statloom.functions.losses import get_loss, list_losses, register_loss
-from statloom.operators import anova, clustering, cox, cv, decomposition, glm, kernels, linear, resampling, robust_covariance, selection, solvers, splines, testing
+from statloom.operators import anova, clustering, cox, cv, decomposition, glm, kernels, linear, panel_models, resampling, robust_covariance, selection, solvers, splines, testing
 from statloom.plans import gram, ranks
 
 
@@ -423,3 +423,15 @@ def test_estimators_by_name(wide):
     assert panel.table_.count() == 2 and abs(panel.coef_[0] - 2) < 0.3
     surv = estimators.CoxPH().fit(df.withColumn("t", F.exp(F.col("v3") - F.col("v0"))), formula="Surv(t, 1) ~ v0 + v1")
     assert surv.coef_[0] > 0.5 and surv.predict(df).where("hazard_ratio IS NULL").count() == 0
+
+
+def test_labels_and_streams(wide, spark, tmp_path):
+    df, x, _, names = wide
+    got, n = panel_models.factorize(df, "g", "code")
+    assert n == 3 and {(r.g, r.code) for r in got.select("g", "code").distinct().collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert panel_models.dummies(df, "g", False)[1] == ["g_b", "g_c"]
+    df.write.parquet(str(tmp_path / "in"))
+    m = decomposition.PCA(2)
+    q = streaming.fit_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), lambda b: m.partial_fit(b, names), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    assert np.allclose(m.explained, decomposition.PCA(2).fit(df, names).explained)
