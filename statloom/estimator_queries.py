@@ -202,7 +202,7 @@ def _mixture_sql(kind: str) -> str:
     det = "(v{i}aa*v{i}bb-v{i}ab*v{i}ab)"
     logs = [f"ln(w{i})-ln(2*pi())-0.5*ln({det.format(i=i)})-0.5*(v{i}bb*(a-m{i}a)*(a-m{i}a)-2*v{i}ab*(a-m{i}a)*(b-m{i}b)+v{i}aa*(b-m{i}b)*(b-m{i}b))/{det.format(i=i)}" for i in range(2)]
     names = ", ".join(f"w{i}, m{i}a, m{i}b, v{i}aa, v{i}ab, v{i}bb" for i in range(2))
-    start = ", ".join(f"0.5::DOUBLE, {m[0]}::DOUBLE, {m[1]}::DOUBLE, va, 0.0::DOUBLE, vb" for m in ([3.0, 9.3], [7.0, 9.7]))
+    start = ", ".join(f"0.5::DOUBLE, {m[0]}::DOUBLE, {m[1]}::DOUBLE, va, 0.0::DOUBLE, vb" for m in ([3.0, 9.1], [7.0, 9.1]))
     raw = ", ".join(f"sum(r{i})/count(*) AS w{i}, sum(r{i}*a)/sum(r{i}) AS m{i}a, sum(r{i}*b)/sum(r{i}) AS m{i}b, sum(r{i}*a*a)/sum(r{i})-pow(sum(r{i}*a)/sum(r{i}),2) AS v{i}aa, sum(r{i}*a*b)/sum(r{i})-sum(r{i}*a)/sum(r{i})*sum(r{i}*b)/sum(r{i}) AS v{i}ab, sum(r{i}*b*b)/sum(r{i})-pow(sum(r{i}*b)/sum(r{i}),2) AS v{i}bb" for i in range(2))
     shape = {"full": "v{i}{c}", "diag": "CASE WHEN '{c}'='ab' THEN 0.0 ELSE v{i}{c} END", "spherical": "CASE WHEN '{c}'='ab' THEN 0.0 ELSE (v{i}aa+v{i}bb)/2 END", "tied": "w0*v0{c}+w1*v1{c}"}[kind]
     cov = lambda i, c: f"({shape.format(i=i, c=c)})" + ("" if c == "ab" else "+1e-6")
@@ -213,7 +213,7 @@ SELECT k+1, {shaped} FROM (SELECT k, {raw} FROM (SELECT k, a, b, exp(p)/(exp(p)+
 
 
 def _mixture(s: SparkSession, d: str, kind: str) -> DataFrame:
-    m = clustering.GaussianMixture(2, kind, tol=-np.inf, steps=MIX_STEPS).fit(_points(s, d), ["a", "b"], [[3.0, 9.3], [7.0, 9.7]])
+    m = clustering.GaussianMixture(2, kind, tol=-np.inf, steps=MIX_STEPS).fit(_points(s, d), ["a", "b"], [[3.0, 9.1], [7.0, 9.1]])
     return from_row(s, ["label", "weight", "a", "b", "aa", "ab", "bb"], [(float(i), *map(float, (m.weights[i], *m.means[i], m.covariances[i][0, 0], m.covariances[i][0, 1], m.covariances[i][1, 1]))) for i in range(2)], "d" * 7)
 
 

@@ -61,7 +61,7 @@ WITH RECURSIVE {fit_sql.additive_cells('SELECT o_orderstatus AS a, o_orderpriori
 e AS (SELECT sum((n-1)*coalesce(v,0)) FILTER (n>1)/sum(n-1) AS mse, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM cells_),
 ma AS (SELECT avg(m) AS m, count(*)*count(*)/sum(1.0::DOUBLE/n) AS w FROM cells_ GROUP BY a), mb AS (SELECT avg(m) AS m, count(*)*count(*)/sum(1.0::DOUBLE/n) AS w FROM cells_ GROUP BY b),
 s AS (SELECT 'a' AS term, sum(w*m*m)-pow(sum(w*m),2)/sum(w) AS ss, (SELECT ka-1 FROM e) AS df FROM ma UNION ALL SELECT 'b', sum(w*m*m)-pow(sum(w*m),2)/sum(w), (SELECT kb-1 FROM e) FROM mb UNION ALL SELECT 'ab', sum(n*(m-f)*(m-f)), (SELECT (ka-1)*(kb-1) FROM e) FROM fit_)
-SELECT term, ss, df, ss/df/mse AS f FROM s, e""", digits=4)
+SELECT term, ss, df, ss/df/mse AS f FROM s, e""", digits=6)
 
 # --- least squares -----------------------------------------------------------------------------------------------------
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom import streaming
-from statloom.operators import linear, survival
+from statloom.operators import glm, linear, survival
 from statloom.sources import scores, spells, table
 
 
@@ -24,7 +24,7 @@ def test_coordinate_descent_meets_its_conditions(penalty):
 
 def test_logistic_gradient_is_zero(spark, small):
     df = scores(spark, small).withColumn("x", F.col("score") / 1000)
-    a, b = linear.glm(df, "y", ["x"], "logistic")
+    a, b = glm.fit(df, "y", ["x"], "logistic").beta
     r = F.col("y") - 1 / (1 + F.exp(-(F.lit(float(a)) + F.col("x") * float(b))))
     assert np.allclose(df.agg(F.sum(r), F.sum(r * F.col("x"))).first(), 0, atol=1e-6)
 

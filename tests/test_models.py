@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import special
 from statloom.model_queries import GRIDS
-from statloom.operators import linear, models, multivariate, survival
+from statloom.operators import glm, models, multivariate, survival
 from statloom.queries import QUERIES
 from statloom.sources import spells, table
 
@@ -45,9 +45,8 @@ def test_gamma_far_out(spark):
 
 @pytest.mark.parametrize("kind", sorted(models.TUNING))
 def test_robust_scores_are_zero(prices, kind):
-    beta, scale = models.robust_fit(prices, "y", ["l_quantity"], kind)
-    r = F.col("y") - float(beta[0]) - float(beta[1]) * F.col("l_quantity")
-    psi = r * models.robust_weight(kind, r / scale)
+    m = models.robust_fit(prices, "y", ["l_quantity"], kind)
+    psi = m.loss.slope(F.col("y"), m.eta())
     n = prices.count()
     assert np.allclose(np.array(prices.agg(F.sum(psi), F.sum(psi * F.col("l_quantity"))).first()) / n, 0, atol=1e-5)
 
@@ -73,7 +72,7 @@ def test_ordered_fit_is_a_maximum(spark, link):
 @pytest.mark.parametrize(("family", "power"), [("inverse_gaussian", 3.0), ("tweedie", 1.5)])
 def test_glm_scores_are_zero(spark, small, family, power):
     df = table(spark, small, "events").groupBy("user_id").agg(F.count("*").alias("y"), F.avg("value").alias("x"))
-    a, b = linear.glm(df, "y", ["x"], family)
+    a, b = glm.fit(df, "y", ["x"], family).beta
     mu = F.exp(F.lit(float(a)) + float(b) * F.col("x"))
     u = (F.col("y") - mu) * mu / F.pow(mu, F.lit(power))
     assert np.allclose(df.agg(F.avg(u), F.avg(u * F.col("x"))).first(), 0, atol=1e-6)
