@@ -200,17 +200,18 @@ def concordance(df: DataFrame, time: str, event: str, risk: Column) -> DataFrame
     """
     rows = df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"), risk.cast("double").alias("risk")).na.drop()
     dealt, ranges = ranged(rows, "time", rows=PAIR_ROWS)
-    packed = dealt.groupBy("__range").agg(F.array_sort(F.collect_list(F.struct("time", "event", "risk"))).alias("r"))  # about PAIR_ROWS rows each
-    a = packed.select(F.col("__range").alias("a"), F.col("r").alias("ra"))
-    b = packed.select(F.col("__range").alias("b"), F.col("r").alias("rb"))
+    # a range is three arrays of numbers, of about PAIR_ROWS rows each
+    packed = dealt.groupBy("__range").agg(F.collect_list(F.struct("time", F.col("event").cast("double").alias("event"), "risk")).alias("r"))
+    packed = packed.select("__range", *[F.col(f"r.{n}").alias(n) for n in ("time", "event", "risk")])
+    a = packed.select(F.col("__range").alias("a"), *[F.col(n).alias(f"{n}_a") for n in ("time", "event", "risk")])
+    b = packed.select(F.col("__range").alias("b"), *[F.col(n).alias(f"{n}_b") for n in ("time", "event", "risk")])
 
     def count(batches):
         for batch in batches:
             out = []
-            for i, ra, j, rb in zip(batch.a, batch.ra, batch.b, batch.rb, strict=True):
-                x = np.array([(r["time"], r["event"], r["risk"]) for r in ra]).reshape(-1, 3)
-                y = np.array([(r["time"], r["event"], r["risk"]) for r in rb]).reshape(-1, 3)
-                out.append(_between(x, y) if i < j else _within(x))
+            for _, m in batch.iterrows():
+                x, y = (np.column_stack([m[f"{n}_{side}"] for n in ("time", "event", "risk")]) for side in "ab")
+                out.append(_between(x, y) if m.a < m.b else _within(x))
             yield pd.DataFrame(out, columns=["concordant", "tied", "permissible"])
 
     met = a.join(F.broadcast(b) if ranges <= 8 else b, F.col("a") <= F.col("b")).mapInPandas(count, "concordant double, tied double, permissible double")
