@@ -86,8 +86,12 @@ def robust(df: DataFrame, y: str, x: Sequence[str], kind: str, order: str | None
     if kind == "hac":
         meat = _hac_meat(df.select(F.col(order).alias("__o"), *[(e * t).alias(f"u{i}") for i, t in enumerate(terms)]), len(terms), hac_lags(m.n, lags))
     else:
-        h = F.least(F.greatest(_quadratic(terms, m.bread), F.lit(0.0)), F.lit(1 - 1e-12))
-        w = {"hc0": e * e, "hc1": e * e * float(m.n / m.df), "hc2": e * e / (1 - h), "hc3": e * e / ((1 - h) * (1 - h))}[kind]
+        w = e * e * (float(m.n / m.df) if kind == "hc1" else 1.0)
+        if kind in ("hc2", "hc3"):
+            left = 1 - F.least(F.greatest(_quadratic(terms, m.bread), F.lit(0.0)), F.lit(1 - 1e-12))
+            w = w / (left if kind == "hc2" else left * left)
+        elif kind not in ("hc0", "hc1"):
+            raise ValueError(kind)
         meat = gram(df, terms, w)
     return np.sqrt(np.diag(m.bread @ meat @ m.bread))
 
